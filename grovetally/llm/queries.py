@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, warc
+from . import secrets, urls, warc
+
+# The rules that judge pages.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +38,13 @@ def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark, table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op5_secret_dfa": op5_secret_dfa,
+    "op6_url_templates": op6_url_templates,
     "op10_warc": op10_warc,
 }
 
