@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, urls, warc
+from . import mixing, secrets, urls, warc
+
+# The weights of sources in order, repeating, and the share of all words they get.
+MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
 
 # The rules that judge pages.
 URL_RULES = [
@@ -26,6 +29,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(spark, docs, MIX_WEIGHTS, MIX_SHARE)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = {r.kind for r in secrets.BASE_RULES}
@@ -43,6 +52,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_entropy_mix": op1_entropy_mix,
     "op5_secret_dfa": op5_secret_dfa,
     "op6_url_templates": op6_url_templates,
     "op10_warc": op10_warc,
