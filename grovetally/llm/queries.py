@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, urls, warc
+from . import mixing, secrets, toxicity, urls, warc
 
 # The weights of sources in order, repeating, and the share of all words they get.
 MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(spark, table(spark, sf_dir, "pages"), min_revisit=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
@@ -35,6 +43,11 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def remainder(k: int) -> Column:
+    """crc32 of the id as text modulo k; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string")) % k
+
+
 def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = {r.kind for r in secrets.BASE_RULES}
@@ -55,6 +68,7 @@ QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
     "op5_secret_dfa": op5_secret_dfa,
     "op6_url_templates": op6_url_templates,
+    "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_warc": op10_warc,
 }
 

@@ -20,6 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte that is neither a letter nor a digit, for words without punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,10 +63,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch: hash, start and end in ``data``, and first word of each row."""
 
-    def __init__(self, column: pa.Array, prefix: int = 0):
+    def __init__(self, column: pa.Array, stems: tuple[int, ...] = (), separators: np.ndarray = SPACE):
         raw, self.offsets = buffers(column)
         self.data = LOWER[raw]
-        space = SPACE[self.data]
+        space = separators[self.data]
         n = len(self.data)
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.offsets] = True
@@ -73,7 +75,7 @@ class Words:
         finishes[:-1] &= space[1:] | edge[1:n]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self.hash, self.prefix = self._hashes(prefix)
+        self.hash, self.stems = self._hashes(stems)
 
     @property
     def count(self) -> np.ndarray:
@@ -83,9 +85,9 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.count)
 
-    def _hashes(self, prefix: int) -> tuple[np.ndarray, np.ndarray | None]:
+    def _hashes(self, stems: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
         out = np.empty(len(self.start), dtype=np.uint64)
-        head = np.empty(len(self.start), dtype=np.uint64) if prefix else None
+        heads = [np.empty(len(self.start), dtype=np.uint64) for _ in stems]
         lo = 0
         while lo < len(self.start):
             origin = self.start[lo]
@@ -96,11 +98,11 @@ class Words:
             np.cumsum((self.data[origin : origin + end[-1]].astype(np.uint64) + np.uint64(1)) * up[: end[-1]], out=sums[1:])
             length = (end - begin).astype(np.uint64)
             out[lo:hi] = mix((sums[end] - sums[begin]) * down[begin] + length)
-            if prefix:
-                cut = np.minimum(begin + prefix, end)
-                head[lo:hi] = mix((sums[cut] - sums[begin]) * down[begin] + np.uint64(0x51ED27))
+            for stem, head in zip(stems, heads):
+                cut = np.minimum(begin + stem, end)
+                head[lo:hi] = mix((sums[cut] - sums[begin]) * down[begin] + np.uint64(0x51ED27 + stem))
             lo = hi
-        return out, head
+        return out, heads
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
