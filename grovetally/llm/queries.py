@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, toxicity, urls, warc
+from . import langid, mixing, secrets, toxicity, urls, warc
 
 # The weights of sources in order, repeating, and the share of all words they get.
 MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
@@ -48,6 +48,13 @@ def remainder(k: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % k
 
 
+def op4_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, remainder(4) != 2)
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = {r.kind for r in secrets.BASE_RULES}
@@ -66,6 +73,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op4_langmask": op4_langmask,
     "op5_secret_dfa": op5_secret_dfa,
     "op6_url_templates": op6_url_templates,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
