@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, toxicity, urls, warc
+from . import ann, langid, mixing, secrets, toxicity, urls, warc
 
 # The weights of sources in order, repeating, and the share of all words they get.
 MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_aq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -76,6 +80,7 @@ QUERIES = {
     "op4_langmask": op4_langmask,
     "op5_secret_dfa": op5_secret_dfa,
     "op6_url_templates": op6_url_templates,
+    "op7_aq_search": op7_aq_search,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_warc": op10_warc,
 }
