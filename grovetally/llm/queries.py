@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, secrets, toxicity, urls, warc
+from . import ann, decontaminate, langid, mixing, secrets, toxicity, urls, warc
 
 # The weights of sources in order, repeating, and the share of all words they get.
 MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
@@ -52,6 +52,12 @@ def remainder(k: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % k
 
 
+def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.contaminated(spark, docs, items)
+    return found.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("item_windows").cast("long").alias("item_windows"), "reparameterised")
+
+
 def op4_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, remainder(4) != 2)
@@ -77,6 +83,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op3_template_decontam": op3_template_decontam,
     "op4_langmask": op4_langmask,
     "op5_secret_dfa": op5_secret_dfa,
     "op6_url_templates": op6_url_templates,
