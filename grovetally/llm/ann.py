@@ -2,7 +2,7 @@
 
 A vector is approximated by a sum of one full-dimensional codeword from each of
 ``books`` codebooks.  Codebooks start as k-means on residuals and are refitted by
-least squares; vectors are encoded by beam search over the codebooks in order.
+least squares as long as that brings the sample nearer; vectors are encoded by beam search over the codebooks in order.
 An index row holds the codes, the squared norm of the approximation and that of
 what it misses.  A query is scored against all rows by lookup tables (inner
 products of the query with every codeword) and the stored norms, and the nearest
@@ -102,8 +102,13 @@ def train(x: np.ndarray, books: int = 8, size: int = 256, refits: int = 2, seed:
         words.append(centres)
         rest -= centres[np.argmin((centres**2).sum(1) - 2 * rest @ centres.T, axis=1)]
     model = Codebooks(np.stack(words))
-    for _ in range(refits):
-        at = model.encode(x).astype(np.int64) + np.arange(books) * size
+    codes, best = model.encode(x), np.inf
+    for _ in range(refits + 1):
+        missed = float(((x - model.decode(codes)) ** 2).sum())
+        if missed >= best:
+            return kept
+        best, kept = missed, model
+        at = codes.astype(np.int64) + np.arange(books) * size
         counts = np.zeros((books * size, books * size), dtype=np.float32)
         for i in range(books):
             for j in range(books):
@@ -115,7 +120,8 @@ def train(x: np.ndarray, books: int = 8, size: int = 256, refits: int = 2, seed:
         pull = 1e-2 * max(1.0, len(x) / size / 100)
         fitted = np.linalg.solve((counts + pull * np.eye(books * size)).astype(np.float64), sums + pull * model.flat)
         model = Codebooks(fitted.astype(np.float32).reshape(model.words.shape))
-    return model
+        codes = model.encode(x)
+    return kept
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -140,7 +146,7 @@ def nearest(
     size: int = 256,
     sample: int = 16384,
     rerank: int = 100,
-    z: float = 2.5,
+    z: float = 3.0,
 ) -> DataFrame:
     """query_id, rank, id and score of the ``k`` nearest found; ``is_query`` is a condition on ``id``."""
     ws = Workspace(spark, "ann")
