@@ -8,6 +8,8 @@ white space, so working memory follows the longest word, not the longest text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -60,6 +62,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[ends[0] : ends[-1]], ends - ends[0]
 
 
+def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
+    """First row and rows of consecutive parts of a column, each of at most ``most`` bytes or one row."""
+    _, offsets = buffers(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, column.slice(first, last - first)
+        first = last
+
+
 class Words:
     """The words of a batch: hash, start and end in ``data``, and first word of each row."""
 
