@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, secrets, toxicity, urls, warc
+from . import ann, decontaminate, jaccard, langid, mixing, secrets, toxicity, urls, warc
 
 # The weights of sources in order, repeating, and the share of all words they get.
 MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
@@ -28,6 +28,10 @@ def op7_aq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op8_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_sets(spark, table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -88,6 +92,7 @@ QUERIES = {
     "op5_secret_dfa": op5_secret_dfa,
     "op6_url_templates": op6_url_templates,
     "op7_aq_search": op7_aq_search,
+    "op8_vertical_join": op8_vertical_join,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_warc": op10_warc,
 }
