@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import MARKS, Words
+from .tokens import MARKS, Words, slices
 
 BITS = 18
 #: First bytes of a word that count as features of their own, where the word is longer.
@@ -56,8 +56,10 @@ class Model:
     def score(self, column: pa.Array) -> np.ndarray:
         if not self.weights.any() and self.intercept == -np.inf:
             return np.zeros(len(column))
-        rows, found = features(column)
-        logit = np.bincount(rows, weights=self.weights[found], minlength=len(column)) + self.intercept
+        logit = np.full(len(column), self.intercept)
+        for first, part in slices(column):
+            rows, found = features(part)
+            logit[first : first + len(part)] += np.bincount(rows, weights=self.weights[found], minlength=len(part))
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -114,13 +116,14 @@ def _listed(rows: DataFrame) -> list[np.ndarray]:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = features(batch.column("text"))
-            ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
-            lists = [found[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("seed"), pa.array(lists, pa.binary())], names=["seed", "found"])
+            for first, part in slices(batch.column("text")):
+                at, found = features(part)
+                ends = np.searchsorted(at, np.arange(len(part) + 1))
+                lists = [found[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("seed").slice(first, len(part)), pa.array(lists, pa.binary())], names=["seed", "found"])
 
-    found = rows.select("seed", "text").mapInArrow(listed, "seed long, found binary").distinct().orderBy("seed", "found")
-    return [np.frombuffer(r["found"], np.int32) for r in found.toLocalIterator()]
+    found = rows.select("seed", "text").mapInArrow(listed, "seed long, found binary").distinct()
+    return [np.frombuffer(r, np.int32) for _, r in sorted((r["seed"], bytes(r["found"])) for r in found.toLocalIterator())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None = None, margin: float = 1.1, most_positive: int = 6000, most_unlabelled: int = 12000) -> Model:
@@ -146,94 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
     return train(_listed(rows.join(F.broadcast(chosen), "doc_id")), _listed(some), prior if prior is not None else share)
 
 
-def score(self, column: pa.Array) -> np.ndarray:
-        if not self.weights.any() and self.intercept == -np.inf:
-            return np.zeros(len(column))
-        rows, found = features(column)
-        logit = np.bincount(rows, weights=self.weights[found], minlength=len(column)) + self.intercept
-        return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
-
-
-def train(
-    positive: list[np.ndarray],
-    unlabelled: list[np.ndarray],
-    prior: float,
-    steps: int = 400,
-    rate: float = 0.2,
-    decay: float = 1e-4,
-    least: float = 0.02,
-    lift: float = 4.0,
-) -> Model:
-    """nnPU with the logistic loss; Adagrad steps over the whole sample, so that the sign
-    of the negative risk is not decided by the noise of small batches.
-
-    Features are those in a share ``least`` of the confirmed documents, 5 at least
-    (rarer ones would be learned by heart), and there ``lift`` times as common as
-    in the unlabelled ones; the words of a long text that tell nothing stay out.
-    """
-    if not positive or not unlabelled:
-        return Model(np.zeros(1 << BITS), -np.inf)
-    in_p, in_u = (np.bincount(np.concatenate(some), minlength=1 << BITS) for some in (positive, unlabelled))
-    telling = (in_p >= max(min(5, len(positive)), least * len(positive))) & (in_p / len(positive) >= lift * (in_u + 2) / len(unlabelled))
-    positive, unlabelled = ([x[telling[x]] for x in some] for some in (positive, unlabelled))
-    prior = min(max(prior, 1e-4), 0.9)
-    parts, n, m = positive + unlabelled, len(positive), len(unlabelled)
-    rows, found = np.repeat(np.arange(n + m), [len(x) for x in parts]), np.concatenate(parts)
-    weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-    intercept, square = float(np.log(prior / (1 - prior))), 1e-8
-    for _ in range(steps):
-        p = _sigmoid(np.bincount(rows, weights=weights[found], minlength=n + m) + intercept)
-        loss0 = -np.log(np.maximum(1 - p, 1e-12))
-        push = np.empty(n + m)
-        if loss0[n:].mean() - prior * loss0[:n].mean() >= 0:
-            push[:n], push[n:] = -prior / n, p[n:] / m
-        else:
-            push[:n], push[n:] = prior * p[:n] / n, -p[n:] / m
-        step = np.bincount(found, weights=push[rows], minlength=1 << BITS) + decay * weights
-        squares += step * step
-        weights -= rate * step / np.sqrt(squares)
-        whole = push.sum()
-        square += whole * whole
-        intercept -= rate * whole / np.sqrt(square)
-    return Model(weights, intercept)
-
-
-def _sample(rows: DataFrame, most: int) -> list[np.ndarray]:
-    """The feature lists of at most ``most`` rows (text, seed), chosen by their hash."""
-    chosen = rows.orderBy("seed", F.xxhash64("text", "seed")).limit(most).select("text")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, found = features(batch.column(0))
-            ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([found[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["found"])
-
-    return [np.frombuffer(r[0], np.int32) for r in chosen.mapInArrow(listed, "found binary").toLocalIterator()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None = None, margin: float = 1.1, most_positive: int = 6000, most_unlabelled: int = 12000) -> Model:
-    """``learn`` is a condition on doc_id; only rows that meet it are learned from."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(learn)
-    counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
-    if not counts["toxic"]:
-        return Model(np.zeros(1 << BITS), -np.inf)
-    rows = docs.select("doc_id", "text").filter(learn)
-    seeded = rows.withColumn("seed", F.xxhash64(F.lit("toxicity"), "doc_id"))
-    positive = _least(seeded.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), most_positive)
-    unlabelled = _least(seeded, most_unlabelled)
-    share = margin * counts["toxic"] / counts["n"]
-    return train(positive, unlabelled, prior if prior is not None else share)
-
-
-def _least(rows: DataFrame, most: int) -> list[np.ndarray]:
-    return _sample(rows.select("text", "seed"), most)
-
-
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id and score of every row."""
     session = docs.sparkSession
