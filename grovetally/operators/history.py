@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def changes(states: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """For every state whether each field equals the one before it; the first is left out."""
     window = Window.partitionBy(key).orderBy(order)
-    before = states.select("*", *(F.lag(f).over(window).alias(f"_{f}") for f in fields), F.row_number().over(window).alias("_n"))
-    return before.filter("_n > 1").select(key, order, *(F.col(f).eqNullSafe(F.col(f"_{f}")).alias(f"same_{f}") for f in fields))
+    before = states.select("*", *(F.lag(f).over(window).alias(f"_{f}") for f in fields), F.row_number().over(window).alias("_row"))
+    return before.filter("_row > 1").select(key, order, *(F.col(f).eqNullSafe(F.col(f"_{f}")).alias(f"same_{f}") for f in fields))
 
 
 def path_history(states: DataFrame, key: str, order: str, shown: list[str]) -> DataFrame:

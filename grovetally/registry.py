@@ -1,4 +1,5 @@
 """Every query of the engine and its SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
