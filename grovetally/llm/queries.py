@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, mixing, secrets, toxicity, urls, warc
+from . import ann, decontaminate, jaccard, langid, lm, mixing, secrets, toxicity, urls, warc
 
 # The weights of sources in order, repeating, and the share of all words they get.
 MIX_WEIGHTS, MIX_SHARE = [3, 1, 2], 1.5
@@ -56,6 +56,10 @@ def remainder(k: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % k
 
 
+def op2_nce_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"), remainder(10) != 0)
+
+
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = decontaminate.contaminated(spark, docs, items)
@@ -87,6 +91,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_nce_lm": op2_nce_lm,
     "op3_template_decontam": op3_template_decontam,
     "op4_langmask": op4_langmask,
     "op5_secret_dfa": op5_secret_dfa,
