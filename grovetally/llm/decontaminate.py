@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .tokens import MARKS, Words, buffers, mix, slices
 from .workspace import Workspace
 
@@ -152,22 +153,15 @@ def contaminated(
     """Matching pairs: doc id, ``text_hash``, item id, matched and all windows of the item, re-parameterised or not."""
     ws = Workspace(spark, "decontaminate")
     theirs = ws.keep(_item_windows(items, item_column, text_column), "items")
-    spot = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    words = theirs.select((F.shiftright(spot, 6)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    bitmap[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = spark.sparkContext.broadcast(bitmap.build(theirs, "hash", BITMAP_BITS))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for ids, hashed, part in ((b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), part) for b in batches for first, part in slices(b.column(2))):
             t = Templates(part)
             found, texts = [], []
             for size in range(SHORTEST, WINDOW + 1):
                 hashes, row, at = t.windows(size)
-                place = hashes >> np.uint64(64 - BITMAP_BITS)
-                use = np.flatnonzero((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+                use = np.flatnonzero(bitmap.test(shared.value, hashes))
                 if len(use):
                     rows = pa.array(row[use])
                     found.append((ids.take(rows), hashes[use], at[use] - t.first[row[use]], t.values(at[use], size)))
