@@ -83,3 +83,12 @@ def fnv1a(data: Column) -> Column:
     codes = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(F.encode(data, "UTF-8"), i, F.lit(1))), 16, 10).cast("long"))
     codes = F.when(F.octet_length(data) == 0, F.array().cast("array<long>")).otherwise(codes)
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
+
+
+def size_text(size: Column) -> Column:
+    """Bytes in binary units with one decimal; unknown sizes say so."""
+    unit = F.when(size < 1024, 0).when(size < 1 << 20, 1).when(size < 1 << 30, 2).when(size < 1 << 40, 3).otherwise(4)
+    names = F.array(*(F.lit(n) for n in ("B", "KiB", "MiB", "GiB", "TiB")))
+    tenths = F.floor(size * 10 / F.pow(F.lit(1024.0), unit)).cast("long")
+    scaled = F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(size.isNull(), F.lit("unclaimed")).when(unit == 0, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(scaled, F.lit(" "), F.get(names, unit)))

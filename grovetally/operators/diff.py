@@ -34,3 +34,13 @@ def summary(changes: DataFrame) -> DataFrame:
 
 def only_in(left: DataFrame, right: DataFrame, key: str = "path") -> DataFrame:
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
+
+
+def changed_fields(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """keys and the names of the fields that differ, comma-joined; rows of one side only say so."""
+    a = left.select(*keys, F.struct(*fields).alias("l"))
+    b = right.select(*keys, F.struct(*fields).alias("r"))
+    both = a.join(b, keys, "full_outer")
+    names = F.array_join(F.filter(F.array(*(F.when(~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull()), ",")
+    what = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").otherwise(names)
+    return both.select(*keys, what.alias("changed")).filter("changed <> ''")

@@ -81,3 +81,12 @@ def cells(nodes: DataFrame, max_depth: int, width: float, height: float, metric:
         laid = here if laid is None else laid.unionByName(here)
         above = here.select(F.col("path").alias("parent"), F.col("x0").alias("px0"), F.col("y0").alias("py0"), F.col("x1").alias("px1"), F.col("y1").alias("py1"))
     return laid
+
+
+def hits(points: DataFrame, laid: DataFrame, width: float, height: float, bins: int = 64) -> DataFrame:
+    """For every point (point_id, x, y) the deepest cell that holds it, by a grid of bins."""
+    bin_of = lambda c, size: F.least(F.floor(c * bins / size), F.lit(bins - 1)).cast("int")
+    spread = laid.withColumn("bx", F.explode(F.sequence(bin_of(F.col("x0"), width), bin_of(F.col("x1"), width)))).withColumn("by", F.explode(F.sequence(bin_of(F.col("y0"), height), bin_of(F.col("y1"), height))))
+    asked = points.withColumn("bx", bin_of(F.col("x"), width)).withColumn("by", bin_of(F.col("y"), height))
+    met = asked.join(spread, ["bx", "by"]).filter("x0 <= x AND x < x1 AND y0 <= y AND y < y1")
+    return met.groupBy("point_id").agg(F.max_by("path", F.col("depth")).alias("path"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,13 @@ def real_size(totals: DataFrame, owners: DataFrame) -> DataFrame:
     joined = owners.join(totals.withColumn("count", count), "stream_id", "left")
     rest = F.when(F.col("file_id") == F.col("stream_id"), F.expr("bytes % count")).otherwise(0)
     return joined.select("file_id", (F.expr("coalesce(bytes, 0) div coalesce(count, 1)") + F.coalesce(rest, F.lit(0))).cast("long").alias("real_size"))
+
+
+def split_ranges(extents: DataFrame, blocks: DataFrame, width: int = 64) -> DataFrame:
+    """row_id, s, e and refcnt of every stretch of a range: overlaps as they are, gaps with count 1."""
+    met = overlaps(extents, blocks, width).select("row_id", "ls", "le", F.greatest("ls", "rs").alias("s"), F.least("le", "re").alias("e"), "refcnt")
+    stops = extents.filter("le > ls").select("row_id", "ls", "le", F.col("le").alias("s"), F.col("le").alias("e"), F.lit(None).cast("long").alias("refcnt"))
+    order = Window.partitionBy("row_id", "ls").orderBy("s", "e")
+    after = met.unionByName(stops).withColumn("from", F.coalesce(F.lag("e").over(order), F.col("ls")))
+    gaps = after.filter(F.col("from") < F.col("s")).select("row_id", F.col("from").alias("s"), F.col("s").alias("e"), F.lit(1).cast("long").alias("refcnt"))
+    return met.select("row_id", "s", "e", F.col("refcnt").cast("long").alias("refcnt")).unionByName(gaps)

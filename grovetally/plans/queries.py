@@ -474,3 +474,97 @@ def treemap_cells(spark, folder):
     from ..operators import layout
 
     return layout.cells(with_leaves(a.ns_orders(spark, folder)), max_depth=2, width=1024.0, height=768.0)
+
+
+@query(f"""WITH {EXTENTS}, m AS (SELECT row_id, ls, le, greatest(ls, rs) AS s, least(le, re) AS e, CAST(refcnt AS BIGINT) AS refcnt FROM fe JOIN pe ON ls < re AND rs < le
+ UNION ALL SELECT row_id, ls, le, le, le, NULL FROM fe), l AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY row_id ORDER BY s, e), ls) AS f FROM m)
+ SELECT row_id, s, e, refcnt FROM l WHERE refcnt IS NOT NULL UNION ALL SELECT row_id, f, s, 1 FROM l WHERE f < s""")
+def range_split(spark, folder):
+    return sizes.split_ranges(*a.extents(spark, folder))
+
+
+@query(f"""WITH {ORDERS}, {LATER}, c AS (SELECT l.path AS lp, r.path AS rp, coalesce(l.path, r.path) AS path, array_to_string(list_filter([CASE WHEN l.file_id IS DISTINCT FROM r.file_id THEN 'file_id' END,
+ CASE WHEN l.logical_size IS DISTINCT FROM r.logical_size THEN 'logical_size' END], lambda x: x IS NOT NULL), ',') AS names FROM files l FULL OUTER JOIN later r ON l.path = r.path)
+ SELECT path, CASE WHEN rp IS NULL THEN 'missing' WHEN lp IS NULL THEN 'extra' ELSE names END AS changed FROM c WHERE rp IS NULL OR lp IS NULL OR names <> ''""")
+def record_diff(spark, folder):
+    return diff.changed_fields(*_scans(spark, folder), ["path"], ["file_id", "logical_size"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'unclaimed' WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN (s * 10 // 1024) // 10 || '.' || (s * 10 // 1024) % 10 || ' KiB'
+ WHEN s < 1073741824 THEN (s * 10 // 1048576) // 10 || '.' || (s * 10 // 1048576) % 10 || ' MiB' ELSE (s * 10 // 1073741824) // 10 || '.' || (s * 10 // 1073741824) % 10 || ' GiB' END AS shown
+ FROM (SELECT o_orderkey, o_orderkey * o_orderkey % 5000000000 AS s FROM orders) AS t""")
+def size_text(spark, folder):
+    size = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderkey") * F.col("o_orderkey") % 5000000000)
+    return a.table(spark, folder, "orders").select("o_orderkey", p.size_text(size).alias("shown"))
+
+
+@query(f"""WITH {ORDERS}, m AS (SELECT n_name AS target, r_name AS link FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0)
+ SELECT path, link IS NOT NULL AS is_link, target FROM files LEFT JOIN m ON string_split(path, '/')[1] = link AND string_split(path, '/')[2] = target""")
+def link_map(spark, folder):
+    nations, regions = a.table(spark, folder, "nation"), a.table(spark, folder, "region")
+    links = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey % 5 = 0").select(F.concat_ws("/", "r_name", "n_name").alias("prefix"), F.col("n_name").alias("target"))
+    entries = a.ns_orders(spark, folder).select("path", F.substring_index("path", "/", 2).alias("prefix"))
+    return entries.join(links, "prefix", "left").select("path", F.col("target").isNotNull().alias("is_link"), "target")
+
+
+@query(f"""WITH {ORDERS} SELECT string_split(path, '/')[1] AS root, sha256(string_agg(path || '|' || entry_kind || '|' || file_id || '|' || logical_size, chr(10) ORDER BY path)) AS digest
+ FROM files WHERE file_id % 50 = 0 GROUP BY 1""")
+def entry_digest(spark, folder):
+    """A digest for each root of a listing's lines in order of path."""
+    line = F.concat_ws("|", "path", "entry_kind", "file_id", "logical_size")
+    rows = a.ns_orders(spark, folder).filter("file_id % 50 = 0").select(F.substring_index("path", "/", 1).alias("root"), F.struct("path", line.alias("line")).alias("x"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n")
+    return rows.groupBy("root").agg(F.sha2(lines, 256).alias("digest"))
+
+
+@query(f"WITH {PARTS} SELECT file_id, count(DISTINCT {NAME}) AS names, min({NAME}) AS first_name FROM (SELECT path, file_id FROM files) AS f GROUP BY file_id")
+def names_per_inode(spark, folder):
+    named = a.ns_parts(spark, folder).withColumn("name", p.basename(F.col("path")))
+    return named.groupBy("file_id").agg(F.countDistinct("name").alias("names"), F.min("name").alias("first_name"))
+
+
+@query("""SELECT user_id AS scan_id, event_id AS seq, CAST(sum(event_id % 7) OVER w AS BIGINT) AS scanned, CAST(sum(event_id % 3) OVER w AS BIGINT) AS skipped, CAST(sum(event_id % 101) OVER w AS BIGINT) AS bytes,
+ event_id = max(event_id) OVER (PARTITION BY user_id) AS terminal FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def progress_totals(spark, folder):
+    from ..streaming import scans
+
+    ticks = a.table(spark, folder, "events").selectExpr("user_id AS scan_id", "event_id AS seq", "event_id % 7 AS scanned", "event_id % 3 AS skipped", "event_id % 101 AS bytes")
+    return scans.progress(ticks)
+
+
+@query("""SELECT event_id, CASE WHEN t > 0 AND d * 1.0 / t <= 1.1 THEN CAST(floor(least(d * 1.0 / t, 1.0) * 1000) AS BIGINT) END AS permille
+ FROM (SELECT event_id, event_id % 120 AS d, event_id % 9 * 16 AS t FROM events) AS x""")
+def progress_fraction(spark, folder):
+    from ..streaming import scans
+
+    share = scans.fraction(F.col("event_id") % 120, F.col("event_id") % 9 * 16)
+    return a.table(spark, folder, "events").select("event_id", F.floor(share * 1000).alias("permille"))
+
+
+@query("""SELECT event_type AS config, CAST(sum(CASE WHEN event_id % 2 = 0 THEN event_id % 1009 END) AS BIGINT) AS base, CAST(sum(CASE WHEN event_id % 2 = 1 THEN event_id % 1009 END) AS BIGINT) AS changed,
+ CASE WHEN abs(count(*) FILTER (WHERE event_id % 2 = 0) - count(*) FILTER (WHERE event_id % 2 = 1)) * 100 > count(*) THEN 'inconclusive'
+ WHEN sum(CASE WHEN event_id % 2 = 1 THEN event_id % 1009 END) * 10 < sum(CASE WHEN event_id % 2 = 0 THEN event_id % 1009 END) * 9 THEN 'faster' ELSE 'same' END AS verdict FROM events GROUP BY event_type""")
+def bench_verdict(spark, folder):
+    runs = a.table(spark, folder, "events").select(F.col("event_type").alias("config"), (F.col("event_id") % 2).alias("variant"), (F.col("event_id") % 1009).alias("v"))
+    sums = runs.groupBy("config").agg(
+        F.sum(F.when(F.col("variant") == 0, F.col("v"))).alias("base"), F.sum(F.when(F.col("variant") == 1, F.col("v"))).alias("changed"),
+        F.count_if(F.col("variant") == 0).alias("n0"), F.count_if(F.col("variant") == 1).alias("n1"),
+    )
+    drift = F.abs(F.col("n0") - F.col("n1")) * 100 > F.col("n0") + F.col("n1")
+    return sums.select("config", "base", "changed", F.when(drift, "inconclusive").when(F.col("changed") * 10 < F.col("base") * 9, "faster").otherwise("same").alias("verdict"))
+
+
+@query(f"""WITH {ORDERS}, {LATER}, b AS (SELECT count(*) AS n FROM (SELECT path FROM files EXCEPT SELECT path FROM later) AS x), c AS (SELECT count(*) AS n FROM (SELECT path FROM later EXCEPT SELECT path FROM files) AS y),
+ k AS (SELECT count(*) AS n FROM files f JOIN later l ON f.path = l.path WHERE f.logical_size <> l.logical_size) SELECT b.n AS gone, c.n AS new, k.n AS resized FROM b, c, k""")
+def churn(spark, folder):
+    before, after = _scans(spark, folder)
+    found = diff.summary(diff.long_form(before, after, ["logical_size"]))
+    return found.agg(*(F.coalesce(F.max(F.when(F.col("field") == f, F.col("n"))), F.lit(0)).alias(n) for f, n in (("only_in_left", "gone"), ("only_in_right", "new"), ("logical_size", "resized"))))
+
+
+@query()
+def treemap_hits(spark, folder):
+    from ..operators import layout
+
+    points = a.table(spark, folder, "events").filter("event_id % 10 = 0").selectExpr("event_id AS point_id", "double(event_id * 37 % 1024) AS x", "double(event_id * 91 % 768) AS y")
+    return layout.hits(points, treemap_cells(spark, folder), 1024.0, 768.0)
