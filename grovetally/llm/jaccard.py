@@ -12,6 +12,9 @@ sizes every node is first compared with the group's least node; components of th
 links found are then contracted, and only pairs across components remain, which
 are all compared.  So components are those of the full set of links.
 
+Before that, outlines drop pairs that cannot link: how many shingles of a set fall
+into each of 64 to 1024 stretches of the order bounds the difference of two sets.
+
 The order needs only be the same for all texts: shingles that occur in several
 texts of one chunk anywhere are marked in a bitmap of fixed size.  Nothing is
 capped: a shingle's group may have any size, and is sorted and spilled by Spark.
@@ -43,7 +46,7 @@ FRAGMENTS = 4
 COMMON, COUNTED = 4, 1 << 21
 ORDER_BITS, NODE_BITS = 24, 25
 #: Pairs compared by one task in one fragment, on average.
-PAIRS = 20_000
+PAIRS = 5_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,8 +74,14 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s + np.uint64(0xA5A5)).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def outline(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of equal stretches of the order of hashes, more for large sets."""
+    bits = 6 if len(s) < 1500 else 8 if len(s) < 8000 else 10
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, node and n of each row, and rows of n = -1 with shingles common in a chunk."""
+    """id, node, n and outline of each row, and rows of n = -1 with shingles common in a chunk."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, set()
@@ -83,25 +92,30 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             times = np.diff(np.concatenate([starts, [len(s)]]))
             return s[starts[times >= COMMON]].view(np.int64).tolist()
 
-        empty = pa.nulls(1)
+        def told() -> pa.RecordBatch:
+            columns = [pa.nulls(1, kind), pa.array([0]), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([common()], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        names = ["id", "node", "n", "outline", "common"]
         for batch in batches:
-            nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            kind = batch.column(0).type
+            nodes, sizes, outlines = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for row, s in shingle_sets(batch.column(1), size):
                 nodes[row], sizes[row] = node_of(s), len(s)
+                outlines.append(outline(s))
                 if len(s) and int(nodes[row]) not in seen:
                     seen.add(int(nodes[row]))
                     held.append(s)
                     count += len(s)
                     if count >= COUNTED:
-                        yield pa.RecordBatch.from_arrays([empty.cast(batch.column(0).type), pa.array([0]), pa.array([-1]), pa.array([common()], pa.list_(pa.int64()))], names=["id", "node", "n", "common"])
+                        yield told()
                         held, count, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(sizes), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names=["id", "node", "n", "common"])
-            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(sizes), pa.array(outlines, pa.binary()), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names=names)
         if held:
-            yield pa.RecordBatch.from_arrays([empty.cast(kind), pa.array([0]), pa.array([-1]), pa.array([common()], pa.list_(pa.int64()))], names=["id", "node", "n", "common"])
+            yield told()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(read, f"id {kind}, node long, n long, common array<long>")
+    return docs.mapInArrow(read, f"id {kind}, node long, n long, outline binary, common array<long>")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, marked: np.ndarray) -> DataFrame:
@@ -134,6 +148,32 @@ def _fits(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _plausible(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose outlines may belong to sets that link.
+
+    Counts that differ within a stretch stand for as many shingles in one set
+    only, so the sum of differences never exceeds the sets' difference.
+    """
+    sides = [outlines.select(F.col("node").alias(x), F.col("outline").alias(f"o{x}")) for x in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "na", "b", "nb", "oa", "ob")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(x).to_pylist() for x in ("oa", "ob")]
+            lengths = np.array([[len(t) // 2 for t in side] for side in texts]).reshape(2, -1)
+            apart = np.zeros(batch.num_rows, dtype=np.int64)
+            for la, lb in {tuple(x) for x in lengths.T.tolist()}:
+                rows = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
+                fold = min(la, lb)
+                counts = [np.frombuffer(b"".join(side[i] for i in rows), np.uint16).reshape(len(rows), fold, -1).sum(2, dtype=np.int64) for side in texts]
+                apart[rows] = np.abs(counts[0] - counts[1]).sum(1)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            # |x and y| is at most (|x| + |y| - apart) / 2, |x or y| at least (|x| + |y| + apart) / 2.
+            yield batch.filter(pa.array(100 * (both - apart) >= percent * (both + apart))).select(["a", "na", "b", "nb"])
+
+    return joined.mapInArrow(read, "a long, na long, b long, nb long")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int, ws: Workspace, name: str) -> DataFrame:
     """Those of ``pairs`` (a, na, b, nb) whose summed partial overlaps reach the threshold."""
     pairs = ws.keep(pairs, f"{name}pairs")
@@ -189,6 +229,7 @@ def join_sets(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int
     every = ws.keep(_sets(rows, size), "sets")
     marked = bitmap.build(every.filter("n = -1").select(F.explode("common").alias("shingle")), "shingle", ORDER_BITS)
     sets = every.filter("n >= 0").select("id", "node", "n")
+    outlines = every.filter("n > 0").groupBy("node").agg(F.first("outline").alias("outline"))
 
     group = Window.partitionBy("shingle")
     prefixes = _prefixes(rows, size, percent, marked).withColumn("lo", F.min("node").over(group)).withColumn("hi", F.max("node").over(group))
@@ -202,8 +243,8 @@ def join_sets(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int
         lead = F.min(F.struct("n", "node")).over(Window.partitionBy("shingle", c))
         led = shared.withColumn("lead", lead).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
         stars.append(led.filter("a <> b"))
-    stars = stars[0].unionByName(stars[1]).filter(_fits(percent)).distinct()
-    first = _linked(rows, stars, size, percent, ws, "star")
+    stars = ws.keep(stars[0].unionByName(stars[1]).filter(_fits(percent)).distinct(), "stars")
+    first = _linked(rows, _plausible(stars, outlines, percent), size, percent, ws, "star")
     labels = ws.keep(components(first, ws, "near"), "near")
 
     known = shared.select("shingle", "node", "n").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -211,9 +252,9 @@ def join_sets(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int
     open_ = ws.keep(open_.select("shingle", "node", "n", "label"), "open")
     left, right = (open_.select("shingle", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("label").alias("l" + x)) for x in "ab")
     cross = left.join(right, "shingle").filter((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _fits(percent))
-    tested = ws.spark.read.parquet(ws.path("starpairs")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = cross.select("a", "na", "b", "nb").distinct().join(tested, ["a", "b"], "left_anti")
-    second = _linked(rows, cross, size, percent, ws, "cross")
+    second = _linked(rows, _plausible(cross, outlines, percent), size, percent, ws, "cross")
     labels = components(first.unionByName(second), ws, "all")
 
     copies = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))

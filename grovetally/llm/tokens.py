@@ -62,7 +62,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """First row and rows of consecutive parts of a column, each of at most ``most`` bytes or one row."""
     _, offsets = buffers(column)
     first = 0
