@@ -45,6 +45,7 @@ FRAGMENTS = 4
 #: Shingles in this many texts of a chunk of this many shingles count as common.
 COMMON, COUNTED = 4, 1 << 21
 ORDER_BITS, NODE_BITS = 24, 25
+COARSE_BITS = 4
 #: Pairs compared by one task in one fragment, on average.
 PAIRS = 5_000
 
@@ -80,8 +81,13 @@ def outline(s: np.ndarray) -> bytes:
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
 
 
+def coarse(s: np.ndarray) -> list[int]:
+    """The outline in few stretches, for conditions of a join."""
+    return np.bincount((s >> np.uint64(64 - COARSE_BITS)).astype(np.int64), minlength=1 << COARSE_BITS).tolist()
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, node, n and outline of each row, and rows of n = -1 with shingles common in a chunk."""
+    """id, node, n, outline and coarse outline of each row, and rows of n = -1 with shingles common in a chunk."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, set()
@@ -93,16 +99,17 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             return s[starts[times >= COMMON]].view(np.int64).tolist()
 
         def told() -> pa.RecordBatch:
-            columns = [pa.nulls(1, kind), pa.array([0]), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([common()], pa.list_(pa.int64()))]
+            columns = [pa.nulls(1, kind), pa.array([0]), pa.array([-1]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.array([common()], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        names = ["id", "node", "n", "outline", "common"]
+        names = ["id", "node", "n", "outline", "coarse", "common"]
         for batch in batches:
             kind = batch.column(0).type
-            nodes, sizes, outlines = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
+            nodes, sizes, outlines, rough = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], []
             for row, s in shingle_sets(batch.column(1), size):
                 nodes[row], sizes[row] = node_of(s), len(s)
                 outlines.append(outline(s))
+                rough.append(coarse(s))
                 if len(s) and int(nodes[row]) not in seen:
                     seen.add(int(nodes[row]))
                     held.append(s)
@@ -110,23 +117,24 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     if count >= COUNTED:
                         yield told()
                         held, count, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(sizes), pa.array(outlines, pa.binary()), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names=names)
+            columns = [batch.column(0), pa.array(nodes), pa.array(sizes), pa.array(outlines, pa.binary()), pa.array(rough, pa.list_(pa.int32())), pa.nulls(batch.num_rows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         if held:
             yield told()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(read, f"id {kind}, node long, n long, outline binary, common array<long>")
+    return docs.mapInArrow(read, f"id {kind}, node long, n long, outline binary, coarse array<int>, common array<long>")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, marked: np.ndarray) -> DataFrame:
-    """shingle, node and n for the first shingles of every set; smaller sets only link with equals."""
+    """shingle, node, n and place for the first shingles of every set; smaller sets only link with equals."""
     shared = docs.sparkSession.sparkContext.broadcast(marked)
     least = math.ceil(percent / (100 - percent))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in batches:
-            found, nodes, sizes = [], [], []
+            found, nodes, sizes, places = [], [], [], []
             for _, s in shingle_sets(batch.column(1), size):
                 if len(s) < least or (node := node_of(s)) in seen:
                     continue
@@ -137,10 +145,12 @@ def _prefixes(docs: DataFrame, size: int, percent: int, marked: np.ndarray) -> D
                 found.append(first)
                 nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), n))
+                places.append(np.arange(len(first)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["shingle", "node", "n"])
+                found[:] = [np.concatenate(found).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, places)], names=["shingle", "node", "n", "place"])
 
-    return docs.mapInArrow(read, "shingle long, node long, n long")
+    return docs.mapInArrow(read, "shingle long, node long, n long, place long")
 
 
 def _fits(percent: int):
@@ -235,23 +245,34 @@ def join_sets(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int
     prefixes = _prefixes(rows, size, percent, marked).withColumn("lo", F.min("node").over(group)).withColumn("hi", F.max("node").over(group))
     step = -math.log(percent / 100)
     shared = prefixes.filter("lo <> hi").select(
-        "shingle", "node", "n", F.floor(F.log("n") / step).cast("int").alias("c1"), F.floor(F.log("n") / step + 0.5).cast("int").alias("c2")
+        "shingle", "node", "n", "place", F.floor(F.log("n") / step).cast("int").alias("c1"), F.floor(F.log("n") / step + 0.5).cast("int").alias("c2")
     )
     shared = ws.keep(shared, "shared")
+    # A group's leader is the set with the fewest shingles of its own: of copies with edits the least edited.
+    alone = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - F.col("met")).alias("alone")
+    met = shared.groupBy("node", "n").agg(F.countDistinct("shingle").alias("met")).select("node", alone)
+    ranked = shared.join(met, "node")
     stars = []
     for c in ("c1", "c2"):
-        lead = F.min(F.struct("n", "node")).over(Window.partitionBy("shingle", c))
-        led = shared.withColumn("lead", lead).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+        lead = F.min(F.struct("alone", "n", "node")).over(Window.partitionBy("shingle", c))
+        led = ranked.withColumn("lead", lead).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
         stars.append(led.filter("a <> b"))
     stars = ws.keep(stars[0].unionByName(stars[1]).filter(_fits(percent)).distinct(), "stars")
     first = _linked(rows, _plausible(stars, outlines, percent), size, percent, ws, "star")
     labels = ws.keep(components(first, ws, "near"), "near")
 
-    known = shared.select("shingle", "node", "n").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = shared.select("shingle", "node", "n", "place").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = known.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group)).filter("lo <> hi")
-    open_ = ws.keep(open_.select("shingle", "node", "n", "label"), "open")
-    left, right = (open_.select("shingle", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("label").alias("l" + x)) for x in "ab")
-    cross = left.join(right, "shingle").filter((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _fits(percent))
+    rough = every.filter("n > 0").groupBy("node").agg(F.first("coarse").alias("coarse"))
+    stretches = [F.col("coarse")[i].alias(f"s{i}") for i in range(1 << COARSE_BITS)]
+    open_ = ws.keep(open_.join(rough, "node").select("shingle", "node", "n", "label", "place", *stretches), "open")
+    left, right = (open_.select("shingle", *(F.col(c).alias(c + x) for c in open_.columns if c != "shingle")).withColumnRenamed(f"node{x}", x) for x in "ab")
+    both = F.col("na") + F.col("nb")
+    # What follows the first common shingle bounds the overlap, and so does the coarse outline; the first one lets the pair through.
+    after = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    apart = sum((F.abs(F.col(f"s{i}a") - F.col(f"s{i}b")) for i in range(1 << COARSE_BITS)), F.lit(0))
+    hopeful = ((100 + percent) * after >= percent * both) & ((100 + percent) * apart <= (100 - percent) * both)
+    cross = left.join(right, "shingle").filter((F.col("labela") != F.col("labelb")) & (F.col("a") < F.col("b")) & _fits(percent) & hopeful)
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = cross.select("a", "na", "b", "nb").distinct().join(tested, ["a", "b"], "left_anti")
     second = _linked(rows, _plausible(cross, outlines, percent), size, percent, ws, "cross")
