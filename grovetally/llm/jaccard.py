@@ -45,7 +45,7 @@ FRAGMENTS = 4
 #: Shingles in this many texts of a chunk of this many shingles count as common.
 COMMON, COUNTED = 4, 1 << 21
 ORDER_BITS, NODE_BITS = 24, 25
-COARSE_BITS = 4
+COARSE_BITS = 5
 #: Pairs compared by one task in one fragment, on average.
 PAIRS = 5_000
 
