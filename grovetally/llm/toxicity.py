@@ -82,14 +82,17 @@ def train(
 
     Features are those in a share ``least`` of the confirmed documents, 5 at least
     (rarer ones would be learned by heart), and there ``lift`` times as common as
-    in the unlabelled ones; the words of a long text that tell nothing stay out.
+    in clean ones; the words of a long text that tell nothing stay out.  As the
+    unlabelled documents hold toxic ones too, the rate in clean documents is theirs
+    less the prior's share of the confirmed ones'.
     """
     if not positive or not unlabelled:
         return Model(np.zeros(1 << BITS), -np.inf)
     in_p, in_u = (np.bincount(np.concatenate(some), minlength=1 << BITS) for some in (positive, unlabelled))
-    telling = (in_p >= max(min(5, len(positive)), least * len(positive))) & (in_p / len(positive) >= lift * (in_u + 2) / len(unlabelled))
-    positive, unlabelled = ([x[telling[x]] for x in some] for some in (positive, unlabelled))
     prior = min(max(prior, 1e-4), 0.9)
+    in_clean = np.maximum((in_u + 2) / len(unlabelled) - prior * in_p / len(positive), 2 / len(unlabelled)) / (1 - prior)
+    telling = (in_p >= max(min(5, len(positive)), least * len(positive))) & (in_p / len(positive) >= lift * in_clean)
+    positive, unlabelled = ([x[telling[x]] for x in some] for some in (positive, unlabelled))
     parts, n, m = positive + unlabelled, len(positive), len(unlabelled)
     rows, found = np.repeat(np.arange(n + m), [len(x) for x in parts]), np.concatenate(parts)
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)

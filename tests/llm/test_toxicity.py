@@ -42,6 +42,17 @@ def test_held_out_accuracy(spark):
     assert np.array_equal(model.weights, again.weights)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5])
+def test_many_toxic_documents(spark, share):
+    docs, labels = made(share=share)
+    frame, known = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame, known, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    truth = {i: any(b in t for b in BAD) for i, t, *_ in docs}
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert np.mean([got[i] >= 0.5 for i in got if truth[i]]) > 0.95
+    assert np.mean([got[i] >= 0.5 for i in got if not truth[i]]) < 0.05
+
+
 def test_nulls_empty_and_long(spark):
     docs, labels = made(300)
     docs += [(None, None, None, None), (5000, "", None, None), (5001, "w1 " * 50_000 + "fool vile rotten", None, None), (5000, "", None, None)]
