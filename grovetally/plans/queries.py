@@ -566,5 +566,5 @@ def churn(spark, folder):
 def treemap_hits(spark, folder):
     from ..operators import layout
 
-    points = a.table(spark, folder, "events").filter("event_id % 10 = 0").selectExpr("event_id AS point_id", "double(event_id * 37 % 1024) AS x", "double(event_id * 91 % 768) AS y")
+    points = a.table(spark, folder, "events").selectExpr("event_id AS point_id", "double(event_id * 37 % 1024) AS x", "double(event_id * 91 % 768) AS y")
     return layout.hits(points, treemap_cells(spark, folder), 1024.0, 768.0)

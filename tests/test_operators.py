@@ -176,3 +176,20 @@ def test_directory_identity(spark):
     e = entries(spark, [("a", "dir", 1, 0, 0), ("a/f", "file", 5, 1, 1), ("b", "dir", 1, 0, 0), ("b/f", "file", 5, 1, 1), ("bc", "file", 6, 1, 1)])
     kept, gone = posix.one_path_per_directory(e)
     assert {r.path for r in kept.collect()} == {"a", "a/f", "bc"} and [tuple(r) for r in gone.collect()] == [("b", "duplicate_dir_inode")]
+
+
+def test_treemap_hits_asks_every_event(spark, tmp_path):
+    from grovetally.plans import queries
+
+    tables = {
+        "region": ([(0, "r")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "n", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(0, "c", 0)], "c_custkey long, c_name string, c_nationkey int"),
+        "orders": ([(1, 0, 10.0)], "o_orderkey long, o_custkey long, o_totalprice double"),
+        "events": ([(i,) for i in range(200)], "event_id long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.point_id: r.path for r in queries.treemap_hits(spark, str(tmp_path)).collect()}
+    inside = lambda i, pad: pad <= i * 37 % 1024 < 1024 - pad and pad <= i * 91 % 768 < 768 - pad
+    assert got == {i: "r/n" if inside(i, 2) else "r" for i in range(200) if inside(i, 1)}
