@@ -10,8 +10,8 @@ header, a null page id leaves out the id header.  Rows with equal payloads share
 one response: the smallest page id, nulls last; rows repeated with that id are
 all responses.  Payloads shorter than ``min_revisit`` bytes never become revisits.
 An empty table writes no archive and reads back as no rows.  Extra columns are
-ignored.  Damaged members give a row whose ``error`` says why; the rest of that
-archive is not read past a broken gzip stream.
+ignored.  Damaged members give a row whose ``error`` says why, and reading goes on
+with the next member; only past a broken gzip stream is an archive not read.
 """
 
 from __future__ import annotations
@@ -156,20 +156,26 @@ class _Members:
         out, self.ready = self.ready[:most], self.ready[most:]
         return out
 
-    def upto(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        got = b""
-        while mark not in got:
-            more = self.read(4096)
-            if not more or len(got) > most:
+    def upto(self, mark: bytes) -> bytes:
+        """All before ``mark``, which is taken too; as long as the member is."""
+        got, seen = bytearray(), 0
+        while (at := got.find(mark, seen)) < 0:
+            seen = max(0, len(got) - len(mark) + 1)
+            more = self.read(self.chunk)
+            if not more:
                 raise ValueError("no end of the header")
             got += more
-        head, _, rest = got.partition(mark)
-        self.ready = rest + self.ready
-        return head
+        self.ready = bytes(got[at + len(mark) :]) + self.ready
+        return bytes(got[:at])
+
+    def skip(self) -> None:
+        """To the end of the current member."""
+        while self.read(self.chunk):
+            pass
 
 
 def read_records(source, with_payload: bool = False) -> Iterator[dict]:
-    """The records of one archive, in order; memory is bounded unless payloads are asked for."""
+    """The records of one archive, in order; memory follows the longest header unless payloads are asked for."""
     members = _Members(source)
     while True:
         row = dict.fromkeys(("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"))
@@ -210,9 +216,15 @@ def read_records(source, with_payload: bool = False) -> Iterator[dict]:
             if with_payload and row["record_type"] == "response":
                 row["payload"] = b"".join(kept)
             yield row
-        except (ValueError, KeyError, EOFError, zlib.error, UnicodeDecodeError) as e:
+        except (EOFError, zlib.error) as e:
             yield row | {"error": f"{type(e).__name__}: {e}"}
             return
+        except (ValueError, KeyError) as e:
+            yield row | {"error": f"{type(e).__name__}: {e}"}
+            try:
+                members.skip()
+            except (EOFError, zlib.error):
+                return
 
 
 def read_warc(manifest: DataFrame, files: int, with_payload: bool = False) -> DataFrame:

@@ -65,3 +65,12 @@ def test_damage_is_told(spoil):
 def test_many_members_in_small_chunks():
     data = b"".join(warc.encode_record(i, None, b"x" * i, None, "d") for i in range(50))
     assert [r["payload_bytes"] for r in warc.read_records(io.BytesIO(data))] == list(range(50))
+
+
+def test_long_urls_and_broken_records_lose_no_others():
+    long = "http://a/" + "é" * 400_000
+    spoiled = __import__("gzip").compress(b"WARC/1.1\r\nno header" + b"x" * 200_000)
+    parts = [warc.encode_record(1, long, b"one", None, "d"), spoiled, warc.encode_record(2, None, b"two", None, "d")]
+    got = list(warc.read_records(io.BytesIO(b"".join(parts))))
+    assert [(r["page_id"], r["payload_bytes"]) for r in got] == [(1, 3), (None, None), (2, 3)]
+    assert got[0]["url"] == long and [bool(r["error"]) for r in got] == [False, True, False]
