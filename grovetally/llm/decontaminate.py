@@ -5,9 +5,9 @@ numbers, units and names (capitalised inside a sentence) become typed slots that
 remember their values.  Windows of ``WINDOW`` template tokens of all documents are
 hash-joined with those of all items, so a question asked again with other numbers
 or names still matches.  Along one alignment of document and item, equal slot
-values of the item must stand for equal values in the document; alignments that
-contradict themselves are dropped.  A document is contaminated by an item when
-consistent alignments cover ``coverage`` of the item's windows.
+values of the item must stand for equal values in the document; of alignments that
+contradict themselves only the windows with the item's own values count.  A
+document is contaminated by an item when such windows cover ``coverage`` of the item's.
 
 A fixed-size bitmap of the items' window hashes goes to the executors and lets
 only windows through that may match; what passes is joined by hash, so neither
@@ -178,12 +178,15 @@ def contaminated(
     met = ours.join(theirs, "hash").select(
         "id", "text_hash", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_values", "values").alias("slots")
     )
+    differs = lambda s: s["item_values"] != s["values"]
     lines = met.groupBy("id", "text_hash", "item", "shift").agg(
-        F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set("item_at").alias("covered"),
+        F.collect_set(F.when(~F.exists("slots", differs), F.col("item_at"))).alias("verbatim"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_values"])))
-    changed = F.exists("slots", lambda s: s["item_values"] != s["values"])
-    pairs = lines.filter(consistent).withColumn("changed", changed).groupBy("id", "text_hash", "item").agg(
+    lines = lines.withColumn("changed", consistent & F.exists("slots", differs)).withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.col("verbatim")))
+    pairs = lines.filter(F.size("covered") > 0).groupBy("id", "text_hash", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched"), F.bool_and("changed").alias("reparameterised")
     )
     return (

@@ -100,3 +100,15 @@ def test_empty_tables(spark):
     assert d.contaminated(spark, docs, items.limit(0)).count() == 0
     assert d.remove_contaminated(spark, docs, items.limit(0)).count() == 1
     assert d.contaminated(spark, docs, items).count() == 1
+
+
+def test_one_changed_value_leaves_the_verbatim_rest(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item = f"{say(40)} two {say(40)} two {say(40)}"
+    near = item[::-1].replace("owt", "eerht", 1)[::-1]
+    docs = spark.createDataFrame([(1, near, "", "", 0), (2, say(130), "", "", 0)], DOCS)
+    bench = spark.createDataFrame([(7, item, 0)], ITEMS)
+    got = d.contaminated(spark, docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.matched, r.item_windows, r.reparameterised) for r in got] == [(1, 7, 107, 115, False)]
+    assert [r.doc_id for r in d.remove_contaminated(spark, docs, bench).collect()] == [2]
