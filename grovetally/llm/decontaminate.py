@@ -13,9 +13,16 @@ A fixed-size bitmap of the items' window hashes goes to the executors and lets
 only windows through that may match; what passes is joined by hash, so neither
 table has to fit anywhere.  Nothing but passing windows is shuffled.
 
-Defined cases.  Null texts are empty.  Items of under ``SHORTEST`` tokens say too
-little and take no part; those shorter than a window are one window.  Windows with
-under ``LITERAL`` of their tokens literal are not used.  A document is its id and
+Templates of few tokens or of mostly slots say too little, so what they would lose
+is compared by value: windows with under ``LITERAL`` of their tokens literal, and
+items of up to a window as a whole.  These match only where every token is equal,
+so a verbatim copy is found whatever an item is made of.
+
+Defined cases.  Null texts are empty; items without a token take no part.  Items
+shorter than a window are one window, under ``SHORTEST`` tokens by value only, so
+an item of one word is held by every document with that word.  Where an item has
+windows of both kinds, ``coverage`` of the template windows is enough, as is that
+of all.  A document is its id and
 text: rows repeated in both are reported once and removed together, a null id is
 reported as null.  Extra columns are ignored by ``contaminated`` and kept by
 ``remove_contaminated``; empty tables give no matches.
@@ -49,6 +56,8 @@ dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit u
 
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
 _FACTORS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Sets hashes of windows by value apart from those of templates.
+_EXACT = 1 << 20
 _DIGIT = np.array([48 <= b < 58 for b in range(256)])
 _UPPER = np.array([65 <= b < 91 for b in range(256)])
 _SMALL = np.array([97 <= b < 123 or b >= 128 for b in range(256)])
@@ -101,19 +110,23 @@ class Templates:
         self.token, self.value, self.slot = token[heads], value, (number | unit | name)[heads]
         self.first = np.searchsorted(heads, words.first)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, row and first token of all windows of ``size`` with enough literal tokens."""
+    def windows(self, size: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, row and first token of all windows of ``size`` with enough literal tokens; if ``exact``, of all, by value."""
         n = len(self.token) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = np.zeros(n, dtype=np.uint64)
         for k in range(size):
-            h += self.token[k : k + n] * _FACTORS[k]
+            h += (self.value if exact else self.token)[k : k + n] * _FACTORS[k]
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        good = row[:n] == row[size - 1 :][:n]
+        at = np.flatnonzero(good if exact else good & self.literal(size))
+        return mix(h[at] + np.uint64(size + (_EXACT if exact else 0))), row[at], at
+
+    def literal(self, size: int) -> np.ndarray:
+        """Whether the window of ``size`` from each token has enough literal ones."""
         slots = np.concatenate([[0], np.cumsum(self.slot)])
-        good = (row[:n] == row[size - 1 :][:n]) & (size - (slots[size:] - slots[:n]) >= LITERAL * size)
-        at = np.flatnonzero(good)
-        return mix(h[at] + np.uint64(size)), row[at], at
+        return size - (slots[size:] - slots[:-size]) >= LITERAL * size
 
     def values(self, at: np.ndarray, size: int) -> list[list[int]]:
         signed = self.value.view(np.int64)
@@ -133,18 +146,27 @@ def _item_windows(items: DataFrame, id_column: str, text_column: str) -> DataFra
         for batch in batches:
             t = Templates(batch.column(1))
             count = np.diff(t.first)
-            found = []
+            found, exact = [], []
             for size in range(SHORTEST, WINDOW + 1):
                 hashes, row, at = t.windows(size)
                 use = count[row] == size if size < WINDOW else np.ones(len(row), bool)
                 hashes, row, at = hashes[use], row[use], at[use]
                 if len(row):
                     found.append((batch.column(0).take(pa.array(row)), hashes, at - t.first[row], t.values(at, size)))
+                    exact += [0] * len(row)
+            for size in range(1, WINDOW + 1):
+                hashes, row, at = t.windows(size, exact=True)
+                use = count[row] == size if size < WINDOW else (count[row] == size) | ~t.literal(size)[at]
+                hashes, row, at = hashes[use], row[use], at[use]
+                if len(row):
+                    found.append((batch.column(0).take(pa.array(row)), hashes, at - t.first[row], [[]] * len(row)))
+                    exact += [size] * len(row)
             if found:
-                yield _rows(found)
+                out = _rows(found)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(exact, pa.int32())], names=[*out.schema.names, "exact"])
 
     rows = items.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, hash long, at int, values array<long>")
+    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, hash long, at int, values array<long>, exact int")
 
 
 def contaminated(
@@ -154,17 +176,21 @@ def contaminated(
     ws = Workspace(spark, "decontaminate")
     theirs = ws.keep(_item_windows(items, item_column, text_column), "items")
     shared = spark.sparkContext.broadcast(bitmap.build(theirs, "hash", BITMAP_BITS))
+    by_value = sorted(r["exact"] for r in theirs.filter("exact > 0").select("exact").distinct().collect())
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashed, part in ((b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), part) for b in batches for first, part in slices(b.column(2))):
             t = Templates(part)
             found, texts = [], []
-            for size in range(SHORTEST, WINDOW + 1):
-                hashes, row, at = t.windows(size)
+            for size, exact in [(size, False) for size in range(SHORTEST, WINDOW + 1)] + [(size, True) for size in by_value]:
+                hashes, row, at = t.windows(size, exact)
                 use = np.flatnonzero(bitmap.test(shared.value, hashes))
+                if exact and size < WINDOW and len(use):
+                    # A whole item is held once or more often alike.
+                    use = use[np.unique(np.stack([row[use].astype(np.uint64), hashes[use]]), axis=1, return_index=True)[1]]
                 if len(use):
                     rows = pa.array(row[use])
-                    found.append((ids.take(rows), hashes[use], at[use] - t.first[row[use]], t.values(at[use], size)))
+                    found.append((ids.take(rows), hashes[use], at[use] - t.first[row[use]], [[]] * len(use) if exact else t.values(at[use], size)))
                     texts.append(hashed.take(rows))
             if found:
                 out = _rows(found)
@@ -173,25 +199,26 @@ def contaminated(
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     ours = rows.mapInArrow(passing, f"id {kind}, hash long, at int, values array<long>, text_hash long")
-    theirs = theirs.select(F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
-    sizes = theirs.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows"))
+    theirs = theirs.select(F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("values").alias("item_values"), (F.col("exact") == 0).alias("template"))
+    sizes = theirs.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows"), F.countDistinct(F.when(F.col("template"), F.col("item_at"))).alias("item_templates"))
     met = ours.join(theirs, "hash").select(
-        "id", "text_hash", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_values", "values").alias("slots")
+        "id", "text_hash", "item", F.struct("item_at", "template").alias("window"), (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_values", "values").alias("slots")
     )
     differs = lambda s: s["item_values"] != s["values"]
     lines = met.groupBy("id", "text_hash", "item", "shift").agg(
-        F.collect_set("item_at").alias("covered"),
-        F.collect_set(F.when(~F.exists("slots", differs), F.col("item_at"))).alias("verbatim"),
+        F.collect_set("window").alias("covered"),
+        F.collect_set(F.when(~F.exists("slots", differs), F.col("window"))).alias("verbatim"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_values"])))
     lines = lines.withColumn("changed", consistent & F.exists("slots", differs)).withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.col("verbatim")))
     pairs = lines.filter(F.size("covered") > 0).groupBy("id", "text_hash", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched"), F.bool_and("changed").alias("reparameterised")
+        F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.bool_and("changed").alias("reparameterised")
     )
+    pairs = pairs.withColumn("matched", F.size(F.array_distinct(F.transform("covered", lambda w: w["item_at"])))).withColumn("templates", F.size(F.filter("covered", lambda w: w["template"])))
     return (
         pairs.join(sizes.withColumnRenamed("item", "_item"), F.col("item").eqNullSafe(F.col("_item")))
-        .filter(F.col("matched") >= coverage * F.col("item_windows"))
+        .filter((F.col("matched") >= coverage * F.col("item_windows")) | ((F.col("item_templates") > 0) & (F.col("templates") >= coverage * F.col("item_templates"))))
         .select(F.col("id").alias(id_column), "text_hash", F.col("item").alias(item_column), "matched", "item_windows", "reparameterised")
     )
 

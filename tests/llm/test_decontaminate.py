@@ -112,3 +112,15 @@ def test_one_changed_value_leaves_the_verbatim_rest(spark):
     got = d.contaminated(spark, docs, bench).collect()
     assert [(r.doc_id, r.item_id, r.matched, r.item_windows, r.reparameterised) for r in got] == [(1, 7, 107, 115, False)]
     assert [r.doc_id for r in d.remove_contaminated(spark, docs, bench).collect()] == [2]
+
+
+def test_verbatim_copies_of_dense_and_short_items(spark):
+    items = [(1, "What is 12 + 34 - 5 * 6?"), (2, "What is 2 2 2 2 2 2 2 2"), (3, "Name Paris twice"), (4, "Anna likes the blue door"), (5, "これは一つの文です"), (6, "!?")]
+    docs = [(10 + i, f"so they said then {t} or not, {t}") for i, t in items[:5]]
+    docs += [(21, "so what is 12 + 34 - 5 * 7 then"), (22, "what is 3 3 3 3 3 3 3 3"), (23, "Name London twice"), (24, "they like the blue door"), (25, "これは二つの文です"), (26, "!? what")]
+    frame = spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], DOCS)
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
+    got = d.contaminated(spark, frame, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in got) == [(10 + i, i, False) for i in range(1, 6)]
+    assert all(r.matched <= r.item_windows for r in got)
+    assert sorted(r.doc_id for r in d.remove_contaminated(spark, frame, bench).collect()) == list(range(21, 27))
