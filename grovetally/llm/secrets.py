@@ -30,7 +30,8 @@ class Rule:
 
     ``sure`` is how many body bytes the automaton itself asks for.  Above 1 it
     must not change which matches are found: true where a shorter match cannot
-    overlap the start of a longer one.
+    overlap the start of a longer one.  ``rest`` is what must follow the body, as
+    long as possible; the match reaches to its end.
     """
 
     kind: str
@@ -38,6 +39,7 @@ class Rule:
     body: str
     least: int = 1
     sure: int = 1
+    rest: str = ""
 
 
 # The three base kinds, then kinds that this method adds.
@@ -46,12 +48,18 @@ BASE_RULES = (
     Rule("access", "AKIA", "[A-Z0-9]", 16),
     Rule("hex", "", "[0-9a-f]", 24, 24),
 )
+# What follows a private key's banner: all up to the END line, or without one its
+# header lines and base64 lines, with breaks as such or escaped.
+_BREAK = r"([\x09\x0a\x0d\x20]|\\[nr])"
+_TO_END = r"(-{0,4}[\x00-\x2c\x2e-\xff])*-----END [A-Z ]*PRIVATE KEY-----+"
+_LINES = f"({_BREAK}+[A-Za-z][A-Za-z-]*:\\x20[\\x20-\\x7e]*)*({_BREAK}*[A-Za-z0-9+/=]{{16,}})+({_BREAK}+[A-Za-z0-9+/=]+)?"
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 10),
     Rule("google", "AIza", "[A-Za-z0-9_-]", 35),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]", 8),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY----", "-", 1),
+    Rule("key", "-----BEGIN [A-Z ]*PRIVATE KEY----", "-", 1, rest=f"{_TO_END}|{_LINES}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -62,6 +70,7 @@ class Scanner:
         trees = [automaton.parse(f"{r.head}{r.body}{{{r.sure},}}") for r in rules]
         self.back = automaton.compile_rules(trees, reverse=True, search=True)
         self.heads = [automaton.compile_rules([automaton.parse(r.head)]) if r.head else None for r in rules]
+        self.rests = [automaton.compile_rules([automaton.parse(r.rest)]) if r.rest else None for r in rules]
         self.bodies = [bytes(b for b in range(256) if b in automaton.parse(r.body)[1][0][1]) for r in rules]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -84,6 +93,11 @@ class Scanner:
                     rest = data[body : body + 4 * len(rest)]
                 end = body + len(rest) - len(tail)
                 free[k] = end
+                if self.rests[k]:
+                    stop = automaton.longest(self.rests[k], data, end)
+                    if stop < 0:
+                        continue
+                    free[k] = end = stop
                 if end - body >= self.rules[k].least:
                     found.append((i, k, end))
         return found
