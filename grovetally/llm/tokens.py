@@ -8,12 +8,13 @@ white space, so working memory follows the longest word, not the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -62,7 +63,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; after the last one the worker, which lives on idle, gives its free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, pa.Array]]:
     """First row and rows of consecutive parts of a column, each of at most ``most`` bytes or one row."""
     _, offsets = buffers(column)
     first = 0
