@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import mix
+from .tokens import mix, tidy
 
 N, HASHES, POSITIONS = 4, 2, 1 << 21
 CHUNK = 1 << 20
@@ -81,7 +81,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    for batch in batches:
+    for batch in tidy(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         by_lang: dict[str, list] = {}
         for lang, text in zip(langs, texts):
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             langs, scores = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import Words, mix, slices
+from .tokens import Words, mix, slices, tidy
 from .workspace import Workspace
 
 SHAPES, TOKENS = 128, 2048
@@ -70,7 +70,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), *(pa.array(x) for x in some[1:])], names=["hash", "shape", "learnt", "every"])
 
     size = 0
-    for batch in batches:
+    for batch in tidy(batches):
         learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for first, part in slices(batch.column(0)):
             words = Words(part)
@@ -174,7 +174,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_column: str =
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(TOKENS * TOKENS, dtype=np.int32)
-        for batch in batches:
+        for batch in tidy(batches):
             for _, part in slices(batch.column(0)):
                 w = Words(part)
                 tokens, before, _ = vocabulary.value.tokens(w, vocabulary.value.find(w.hash))
@@ -203,7 +203,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_column: str =
         book = vocabulary.value
         table, shares = model.value
         named = ["id", "key", "learn", "hash", "n", "shape", "tokens", "known", "base", "score"]
-        for batch in batches:
+        for batch in tidy(batches):
             for first, part in slices(batch.column("text")):
                 w = Words(part)
                 at = book.find(w.hash)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
+from .tokens import tidy
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in tidy(batches):
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in text_spans(t.as_py() or "", rules)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, type=kind)], names=["id", "spans"])
 
@@ -157,7 +158,7 @@ def redact_secrets(docs: DataFrame, text_column: str = "text", mask: str = "[SEC
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_column)
-        for batch in batches:
+        for batch in tidy(batches):
             texts = [None if (t := x.as_py()) is None else masked(t, mask, rules) for x in batch.column(at)]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, type=batch.schema.field(at).type)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import MARKS, Words, slices
+from .tokens import MARKS, Words, slices, tidy
 
 BITS = 18
 #: First bytes of a word that count as features of their own, where the word is longer.
@@ -118,7 +118,7 @@ def _listed(rows: DataFrame) -> list[np.ndarray]:
     """The features of each distinct (seed, text) of a bounded choice of rows."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for first, part in slices(batch.column("text")):
                 at, found = features(part)
                 ends = np.searchsorted(at, np.arange(len(part) + 1))
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     shared = session.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1)))], names=["id", "score"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -172,7 +172,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_column)
-        for batch in batches:
+        for batch in tidy(batches):
             yield batch.filter(pa.array(shared.value.score(batch.column(at)) < threshold))
 
     return docs.mapInArrow(kept, docs.schema)

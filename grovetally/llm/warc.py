@@ -29,6 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import tidy
 from .workspace import Workspace
 
 #: Copies of one payload are spread over this many join keys, so none is a hot key.
@@ -109,7 +110,7 @@ def write_warc(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z",
         system, base = pafs.FileSystem.from_uri(folder)
         done: list[tuple[str, int, int]] = []
         out, name, records, size = None, "", 0, 0
-        for batch in batches:
+        for batch in tidy(batches):
             for page_id, url, payload, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to"))):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -235,7 +236,7 @@ def read_warc(manifest: DataFrame, files: int, with_payload: bool = False) -> Da
     arrow = pa.schema([(f.strip().split(" ")[0], kinds[f.strip().split(" ")[1]]) for f in schema.split(",")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for path in batch.column("path").to_pylist():
                 system, inside = pafs.FileSystem.from_uri(path)
                 with system.open_input_stream(inside, compression=None) as source:
