@@ -5,8 +5,9 @@ numbers, units and names (capitalised inside a sentence) become typed slots that
 remember their values.  Windows of ``WINDOW`` template tokens of all documents are
 hash-joined with those of all items, so a question asked again with other numbers
 or names still matches.  Along one alignment of document and item, equal slot
-values of the item must stand for equal values in the document; of alignments that
-contradict themselves only the windows with the item's own values count.  A
+values of the item must stand for equal values in the document: windows whose slots
+go against what most windows of the alignment say do not count, but those with the
+item's own values always do.  A
 document is contaminated by an item when such windows cover ``coverage`` of the item's.
 
 A fixed-size bitmap of the items' window hashes goes to the executors and lets
@@ -34,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .tokens import MARKS, Words, buffers, mix, slices
+from .tokens import MARKS, Words, buffers, mix, slices, tidy
 from .workspace import Workspace
 
 WINDOW, SHORTEST, LITERAL = 8, 5, 0.6
@@ -143,7 +144,7 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 def _item_windows(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             t = Templates(batch.column(1))
             count = np.diff(t.first)
             found, exact = [], []
@@ -169,6 +170,19 @@ def _item_windows(items: DataFrame, id_column: str, text_column: str) -> DataFra
     return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, hash long, at int, values array<long>, exact int")
 
 
+def _meant(met: Column) -> Column:
+    """Of each slot value of an item the value that stands for it along an alignment: that of most
+    windows, of equally many the item's own, then the first one."""
+    # One row is one alignment, so these arrays hold an item's slots and no more.
+    pairs = F.flatten(F.transform(met, lambda m: F.transform(F.array_distinct(m["slots"]), lambda s: F.struct(s.alias("s"), m["window"]["item_at"].alias("at")))))
+    alike = lambda s: F.filter(pairs, lambda x: x["s"] == s)
+    ranked = F.transform(
+        F.array_distinct(F.transform(pairs, lambda x: x["s"])),
+        lambda s: F.struct(F.size(alike(s)).alias("n"), (s["item_values"] == s["values"]).alias("own"), (-F.array_min(F.transform(alike(s), lambda x: x["at"]))).alias("first"), s.alias("s")),
+    )
+    return F.transform(F.filter(ranked, lambda r: ~F.exists(ranked, lambda o: (o["s"]["item_values"] == r["s"]["item_values"]) & (o > r))), lambda r: r["s"])
+
+
 def contaminated(
     spark: SparkSession, docs: DataFrame, items: DataFrame, coverage: float = 0.3, id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text"
 ) -> DataFrame:
@@ -179,7 +193,7 @@ def contaminated(
     by_value = sorted(r["exact"] for r in theirs.filter("exact > 0").select("exact").distinct().collect())
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashed, part in ((b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), part) for b in batches for first, part in slices(b.column(2))):
+        for ids, hashed, part in ((b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), part) for b in tidy(batches) for first, part in slices(b.column(2))):
             t = Templates(part)
             found, texts = [], []
             for size, exact in [(size, False) for size in range(SHORTEST, WINDOW + 1)] + [(size, True) for size in by_value]:
@@ -204,14 +218,14 @@ def contaminated(
     met = ours.join(theirs, "hash").select(
         "id", "text_hash", "item", F.struct("item_at", "template").alias("window"), (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_values", "values").alias("slots")
     )
-    differs = lambda s: s["item_values"] != s["values"]
-    lines = met.groupBy("id", "text_hash", "item", "shift").agg(
-        F.collect_set("window").alias("covered"),
-        F.collect_set(F.when(~F.exists("slots", differs), F.col("window"))).alias("verbatim"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-    )
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_values"])))
-    lines = lines.withColumn("changed", consistent & F.exists("slots", differs)).withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.col("verbatim")))
+    lines = met.groupBy("id", "text_hash", "item", "shift").agg(F.collect_set(F.struct("window", "slots")).alias("met"))
+    lines = lines.withColumn("differs", F.exists("met", lambda m: F.exists(m["slots"], lambda s: s["item_values"] != s["values"])))
+    lines = lines.withColumn("meant", F.when(F.col("differs"), _meant(F.col("met"))))
+    agrees = lambda m: F.forall(m["slots"], lambda s: s["item_values"] == s["values"])
+    follows = lambda m: F.forall(m["slots"], lambda s: F.array_contains("meant", s))
+    kept = F.when(F.col("differs"), F.filter("met", lambda m: agrees(m) | follows(m))).otherwise(F.col("met"))
+    lines = lines.withColumn("covered", F.transform(kept, lambda m: m["window"]))
+    lines = lines.withColumn("changed", F.coalesce(F.exists("meant", lambda s: s["item_values"] != s["values"]), F.lit(False)))
     pairs = lines.filter(F.size("covered") > 0).groupBy("id", "text_hash", "item").agg(
         F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.bool_and("changed").alias("reparameterised")
     )

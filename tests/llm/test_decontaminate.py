@@ -44,17 +44,22 @@ def brute(docs, items, coverage=0.3):
     out = set()
     for doc, text in docs:
         tokens = brute_template(text or "")
-        lines = defaultdict(lambda: (set(), set()))
+        lines = defaultdict(dict)
         for size in range(d.SHORTEST, d.WINDOW + 1):
             for i, t, v in cuts(tokens, size):
                 for item, k, own in index.get(t, []):
-                    covered, slots = lines[item, i - k]
-                    covered.add(k)
-                    slots.update(zip(own, v))
+                    lines[item, i - k][k] = set(zip(own, v))
         covered = defaultdict(set)
-        for (item, _), (some, slots) in lines.items():
-            if len(slots) == len({a for a, _ in slots}):
-                covered[item] |= some
+        for (item, _), line in lines.items():
+            votes = defaultdict(list)
+            for k, slots in line.items():
+                for pair in slots:
+                    votes[pair].append(k)
+            best = {}
+            for (a, b), at in votes.items():
+                best[a] = max(best.get(a, (0,)), (len(at), a == b, -min(at), b))
+            meant = {(a, x[3]) for a, x in best.items()}
+            covered[item] |= {k for k, slots in line.items() if slots <= meant or all(a == b for a, b in slots)}
         out |= {(doc, item) for item, some in covered.items() if len(some) >= coverage * windows[item]}
     return out
 
@@ -85,7 +90,7 @@ def test_against_brute_force(spark):
     got = d.contaminated(spark, frame, bench).collect()
     found = {(r.doc_id, r.item_id) for r in got}
     assert found == brute(docs, items)
-    assert {(1000 + i, i % 30) for i in range(60)} <= found and (2000, 100) in found and (2001, 100) not in found
+    assert {(1000 + i, i % 30) for i in range(60)} <= found and {(2000, 100), (2001, 100)} <= found
     assert not any(i is not None and i < 1000 for i, _ in found)
     assert [r.reparameterised for r in got if r.doc_id == 2000] == [True] and len(got) == len(found)
     left = d.remove_contaminated(spark, frame, bench)
@@ -94,6 +99,14 @@ def test_against_brute_force(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
 
 
+def test_windows_that_contradict_the_rest_do_not_count(spark):
+    item = "the crew of Alba took 12 boats from the pier of Alba to the fair and the mayor of Alba then paid 12 coins"
+    moved = item.replace("Alba", "Brno")
+    docs = spark.createDataFrame([(1, moved, "", "", 0), (2, moved.replace("mayor of Brno", "mayor of Cork"), "", "", 0)], DOCS)
+    got = {r.doc_id: (r.matched, r.item_windows, r.reparameterised) for r in d.contaminated(spark, docs, spark.createDataFrame([(7, item, 0)], ITEMS)).collect()}
+    assert got[1] == (16, 16, True) and got[2][0] < 16 and got[2][2]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g h i", "", "", 0)], DOCS), spark.createDataFrame([(1, "a b c d e f g h i", 0)], ITEMS)
     assert d.contaminated(spark, docs.limit(0), items).count() == 0
