@@ -18,8 +18,8 @@ of index rows and reads the queries, written to the shared folder, block by bloc
 Defined cases.  Rows with a null id, and vectors that are null, zero, or hold null
 or non-finite components, take no part, nor do vectors of another length than the
 most common one (the longest of equally common).  A query row is compared with
-every row of another id; a row repeated under one id is one query.  Ties go to the
-smaller id.  Extra columns are ignored; an empty table gives no rows.
+every row but itself, so rows that share an id are queries of their own and find
+each other.  Ties go to the smaller id.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tokens import tidy
 from .workspace import Workspace
 
 CHUNK, BLOCK = 1 << 16, 1 << 10
@@ -170,23 +172,26 @@ def nearest(
     shared = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A row's number tells it from others of its id.
+        number = TaskContext.get().partitionId() << 33
+        for batch in tidy(batches):
             x = _matrix(batch.column(1), dim)
             codes = shared.value.encode(x)
             near = shared.value.decode(codes).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1)), pa.array(((x - near) ** 2).sum(1))],
-                names=["id", "vector", "codes", "norm", "missed"],
+                [pa.array(np.arange(number, number + len(x))), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1)), pa.array(((x - near) ** 2).sum(1))],
+                names=["row", "id", "vector", "codes", "norm", "missed"],
             )
+            number += len(x)
 
-    schema = "id long, vector array<double>, codes binary, norm double, missed double"
+    schema = "row long, id long, vector array<double>, codes binary, norm double, missed double"
     index = ws.keep(rows.mapInArrow(encode, schema), "index")
-    ws.keep(index.filter(is_query).select("id", "vector").distinct(), "queries")
+    ws.keep(index.filter(is_query).select("row", "id", "vector"), "queries")
     queries = ws.path("queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in batches:
+        for batch in tidy(batches):
             held.append(batch)
             count += batch.num_rows
             if count >= CHUNK:
@@ -197,7 +202,7 @@ def nearest(
 
     def against(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
         book = shared.value
-        ids = chunk["id"].to_numpy()
+        rows, ids = chunk["row"].to_numpy(), chunk["id"].to_numpy()
         x = _matrix(chunk["vector"].combine_chunks(), dim)
         width = book.words.shape[1]
         codes = np.frombuffer(b"".join(chunk["codes"].to_pylist()), np.uint8).reshape(len(ids), books).astype(np.int32)
@@ -210,7 +215,7 @@ def nearest(
             q = _matrix(block.column("vector"), dim)
             tables = q.astype(np.float32) @ book.flat.T
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for number, (qid, vector, table) in enumerate(zip(block.column("id").to_numpy(), q, tables)):
+            for own, qid, vector, table in zip(block.column("row").to_numpy(), block.column("id").to_numpy(), q, tables):
                 product = table[codes[0]]
                 for m in range(1, books):
                     product = product + table[codes[m]]
@@ -218,7 +223,7 @@ def nearest(
                 # What the code misses is as good as orthogonal to the rest: expected square and its deviation.
                 scored = np.maximum(scored, 0)
                 expected, deviation = scored + missed, 2 * np.sqrt(scored * missed / dim)
-                other = ids != qid
+                other = rows != own
                 few = min(rerank, len(ids) - 1)
                 best = np.argpartition(expected, few)[: few + 1]
                 best = best[other[best]]
@@ -232,21 +237,15 @@ def nearest(
                 else:
                     best = np.flatnonzero(other)
                 score = np.sqrt(((x[best] - vector) ** 2).sum(1))
-                top = np.lexsort((ids[best], score))[:k]
+                top = np.lexsort((rows[best], ids[best], score))[:k]
                 out[0].append(np.full(len(top), qid))
-                out[1].append(np.full(len(top), hash_of(vector)))
+                out[1].append(np.full(len(top), own))
                 out[2].append(ids[best][top])
                 out[3].append(score[top])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "version", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "row", "id", "score"])
 
-    found = index.mapInArrow(search, "query_id long, version long, id long, score double")
-    order = Window.partitionBy("query_id", "version").orderBy("score", "id")
+    found = index.mapInArrow(search, "query_id long, row long, id long, score double")
+    order = Window.partitionBy("row").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_column), "score")
 
-
-def hash_of(vector: np.ndarray) -> int:
-    """Tells apart vectors that share an id."""
-    from hashlib import blake2b
-
-    return int.from_bytes(blake2b(vector.tobytes(), digest_size=8).digest(), "little", signed=True)

@@ -9,18 +9,22 @@ SCHEMA = "vec_id long, embedding array<float>, score string, rank string, id int
 def brute(rows, k=10):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
-    for q, v in good:
+    for at, (q, v) in enumerate(good):
         if q % 100 == 0:
-            out[q] = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for i, x in good if i != q)[:k]
+            out[q] = sorted(out.get(q, []) + sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for k2, (i, x) in enumerate(good) if k2 != at)[:k])
     return out
 
 
 def search(spark, rows, **more):
     frame = spark.createDataFrame([(i, v, "s", "r", 1) for i, v in rows], SCHEMA)
     got = {}
-    for r in sorted(ann.nearest(spark, frame, F.col("id") % 100 == 0, **more).collect()):
+    rows = ann.nearest(spark, frame, F.col("id") % 100 == 0, **more).collect()
+    for r in rows:
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    return got
+    for q, found in got.items():
+        ranks, queries = sorted(r.rank for r in rows if r.query_id == q), sum(r.rank == 1 for r in rows if r.query_id == q)
+        assert ranks == sorted([*range(1, len(found) // queries + 1)] * queries)
+    return {q: sorted(found) for q, found in got.items()}
 
 
 def unit(x):
@@ -47,7 +51,7 @@ def test_ties_copies_and_unusable_vectors(spark):
     rows += [(7, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0])]
     got, want = search(spark, rows), brute([r for r in rows if r[0] != 800])
     assert got.keys() == {0, 100, 200, 1000}
-    assert [i for _, i in got[0]] == [1, 2, 3, 4, 5, 6, 7, 7, 8, 9] and got[100] == want[100]
+    assert [i for _, i in got[0]] == [1, 2, 3, 4, 5, 6, 7, 7, 8, 9] and got[100] == want[100] and len(got[100]) == 20
     assert [i for _, i in got[1000]] == [i for _, i in want[1000]]
 
 
