@@ -8,17 +8,23 @@ relative entropy that meet every source's word target are ``min(most, exp(m * x)
 with x the document's words over its source's mean and m the source's multiplier
 in the convex dual.  Safeguarded Newton steps find the multipliers, all sources at
 once: every step sums gradient and curvature over a histogram of (source, size),
-which holds all documents and is far smaller than they are.
+which holds all documents and is far smaller than they are, at the Newton point and
+at a grid of points around it that narrows the bracket, so a few steps are enough.
 
 Copies: whole parts of the rates are kept and fractions are rounded by a radix
 selection: documents get keys (fraction minus a hash), and the key above which a
 source's documents get one more copy is found digit by digit from sums, so the
 words taken end within one document of the target.  Reruns agree.
 
+Texts are read twice, to count words and to give the rows out, and are never
+shuffled or written: all steps between work on (source, size, hash) of each row.
+
 Defined cases.  A null text has size 0; documents of size 0 get one copy and take
 no words; a null source is a source of its own, last in order; a source of size 0
 has target 0; rows repeated in all columns share a key up to a last tie that is
-broken among them alone; extra columns pass through; an empty table gives no rows.
+broken among them alone, by their place in the input; extra columns pass through, and
+those named like a result come out as ``input_`` and their name; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from .workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, TIE_BITS, DIGIT = 40, 20, 12
-STEPS, NEAR = 60, 1e-10
+STEPS, NEAR, GRID = 40, 1e-10, 16
 
 
 def word_count(text: Column) -> Column:
@@ -94,26 +100,33 @@ def multipliers(sizes: DataFrame, targets: DataFrame, ws: Workspace, most: float
         F.lit(0.0).alias("multiplier"),
         F.lit(False).alias("met"),
     )
-    state = ws.keep(start.withColumn("multiplier", F.greatest("low", F.least("high", F.lit(0.0)))), "state0")
+    ends = F.col("high") - F.col("low")
+    grid = [F.col("low") + ends * (i / GRID) for i in range(GRID + 1)]
+    state = ws.keep(start.withColumn("points", F.array_distinct(F.array(*grid[:-1], F.col("high"), F.greatest("low", F.least("high", F.lit(0.0)))))), "state0")
     for step in range(1, STEPS + 1):
+        asked = state.filter("NOT met").select("source", "mean", F.explode("points").alias("m"))
         x = F.col("size") / F.col("mean")
-        rate = F.exp(F.least(F.col("multiplier") * x, F.lit(700.0)))
-        joined = _on_source(histogram, state.filter("NOT met"))
-        sums = joined.groupBy("source").agg(
+        rate = F.exp(F.least(F.col("m") * x, F.lit(700.0)))
+        sums = _on_source(histogram, asked).groupBy("source", "m").agg(
             F.sum(F.col("n") * F.col("size") * F.least(rate, F.lit(float(most)))).alias("total"),
             F.sum(F.when(rate < most, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
         )
-        gap = F.col("total") - F.col("target")
-        low = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") - gap / F.nullif(F.col("slope"), F.lit(0.0))
-        middle = (F.col("l") + F.col("h")) / 2
-        met = F.col("met") | (F.abs(gap) <= NEAR * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("h") - F.col("l") <= 1e-14 * (1 + F.abs("h")))
-        moved = _on_source(state, sums, "left").withColumn("l", F.when(F.col("met"), F.col("low")).otherwise(low)).withColumn("h", F.when(F.col("met"), F.col("high")).otherwise(high))
-        moved = moved.withColumn("next", F.when((newton > F.col("l")) & (newton < F.col("h")), newton).otherwise(middle))
+        tried = _on_source(sums, state.select("source", "target")).withColumn("gap", F.col("total") - F.col("target"))
+        near = tried.groupBy("source").agg(
+            F.max(F.when(F.col("gap") <= 0, F.col("m"))).alias("l"),
+            F.min(F.when(F.col("gap") >= 0, F.col("m"))).alias("h"),
+            F.min_by(F.struct("m", "gap", "slope"), F.struct(F.abs("gap"), "m")).alias("best"),
+        )
+        moved = _on_source(state, near, "left").withColumns({"l": F.coalesce("l", "low"), "h": F.coalesce("h", "high")})
+        close = (F.abs("best.gap") <= NEAR * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("h") - F.col("l") <= 1e-14 * (1 + F.abs("h")))
+        newton = F.col("best.m") - F.col("best.gap") / F.nullif(F.col("best.slope"), F.lit(0.0))
+        wide = F.col("h") - F.col("l")
+        moved = moved.withColumn("next", F.when((newton > F.col("l")) & (newton < F.col("h")), newton).otherwise(F.col("l") + wide / 2))
+        around = [F.greatest("l", F.least("h", F.col("next") + wide * d)) for d in (0.0, 1e-2, -1e-2, 1e-4, -1e-4, 1e-6, -1e-6)]
+        points = F.array_distinct(F.array(*(F.col("l") + wide * (i / GRID) for i in range(1, GRID)), *around))
         moved = moved.select(
             "source", "target", "mean", F.col("l").alias("low"), F.col("h").alias("high"),
-            F.when(met, F.col("multiplier")).otherwise(F.col("next")).alias("multiplier"), met.alias("met"),
+            F.when(F.col("met"), F.col("multiplier")).otherwise(F.col("best.m")).alias("multiplier"), (F.col("met") | close).alias("met"), points.alias("points"),
         )
         state = ws.keep(moved, f"state{step}")
         ws.drop(f"state{step - 1}")
@@ -122,18 +135,15 @@ def multipliers(sizes: DataFrame, targets: DataFrame, ws: Workspace, most: float
     return state.select("source", "multiplier", "mean")
 
 
-def _rounded(rated: DataFrame, targets: DataFrame, ws: Workspace) -> DataFrame:
-    """``rated`` (with rate, size, source, key, tie) plus copies.
+def _edges(rated: DataFrame, targets: DataFrame, ws: Workspace) -> DataFrame:
+    """source and the ``number`` from which on its rows with a fraction get one more copy.
 
-    ``key`` and ``tie`` make one number of KEY_BITS + TIE_BITS bits; of a source's
-    rows with a fraction, those above the threshold get one more copy.
+    ``rated`` has source, size, rate and number, of KEY_BITS + TIE_BITS bits.
     """
     bits = KEY_BITS + TIE_BITS
-    number = F.shiftleft("key", TIE_BITS).bitwiseOR(F.col("tie"))
-    rated = ws.keep(rated.withColumn("number", number).withColumn("whole", F.floor("rate")).withColumn("more", F.col("rate") > F.floor("rate")), "rated")
-    kept = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("kept"))
+    kept = rated.groupBy("source").agg(F.sum(F.floor("rate") * F.col("size")).alias("kept"))
     state = _on_source(targets, kept).select("source", (F.col("target") - F.col("kept")).alias("need"), F.lit(0).cast("long").alias("prefix"))
-    choices = rated.filter("more AND size > 0").select("source", "size", "number")
+    choices = rated.filter((F.col("rate") > F.floor("rate")) & (F.col("size") > 0)).select("source", "size", "number")
     state = ws.keep(state, "need0")
     for step, low in enumerate(range(bits - DIGIT, -1, -DIGIT), 1):
         # The digit at which the sums from above pass what is still needed; rows below it get nothing.
@@ -152,9 +162,7 @@ def _rounded(rated: DataFrame, targets: DataFrame, ws: Workspace) -> DataFrame:
         state = ws.keep(following, f"need{step}")
         ws.drop(f"need{step - 1}")
     # The rows at the threshold itself are in where that ends nearer to the target than leaving them out.
-    edge = state.select("source", (F.col("prefix") + F.when(F.col("words") <= 2 * F.col("need"), 0).otherwise(1)).alias("edge"))
-    extra = F.col("more") & (F.col("size") > 0) & (F.col("number") >= F.col("edge"))
-    return _on_source(rated, edge, "left").withColumn("copies", (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).cast("long"))
+    return ws.keep(state.select("source", (F.col("prefix") + F.when(F.col("words") <= 2 * F.col("need"), 0).otherwise(1)).alias("edge")), "edges")
 
 
 def mix_sources(
@@ -175,21 +183,27 @@ def mix_sources(
         F.col(source_column).alias("source"),
         word_count(F.col(text_column)).alias("size"),
         F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("seed"),
+        F.monotonically_increasing_id().alias("line"),
     )
-    sizes = ws.keep(packed, "sizes")
+    sizes = ws.keep(packed.drop("row"), "sizes")
     targets = ws.keep(source_targets(sizes.select("source", "size"), weights, share, most), "targets")
     found = multipliers(sizes.select("source", "size"), targets, ws, most)
-    x = F.col("size") / F.col("mean")
-    raw = F.least(F.exp(F.least(F.col("multiplier") * x, F.lit(700.0))), F.lit(float(most)))
-    whole = F.when(F.abs(raw - F.round(raw)) < 1e-9, F.round(raw)).otherwise(raw)
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.coalesce(whole, F.lit(0.0)))
-    joined = _on_source(_on_source(sizes.withColumn("line", F.monotonically_increasing_id()), targets.select("source", "source_size", "target")), found, "left")
-    rated = joined.withColumn("rate", rate)
-    unit = F.pmod("seed", F.lit(1 << 32)) / F.lit(float(1 << 32))
-    key = ((F.col("rate") - F.floor("rate") - unit + 1) / 2 * F.lit(float((1 << KEY_BITS) - 1))).cast("long")
-    rated = rated.withColumn("key", key).withColumn("tie", F.pmod(F.xxhash64("line"), F.lit(1 << TIE_BITS)))
-    done = _rounded(rated.drop("seed", "line", "multiplier", "mean"), targets.select("source", "target"), ws)
-    names = {"size", "source_size", "target", "rate", "copies", "taken"}
-    return done.withColumn("taken", F.col("copies") * F.col("size")).select(
-        *(F.col(f"row.`{c}`").alias(c) for c in others if c not in names), "size", "source_size", "target", "rate", "copies", "taken"
-    )
+    known = ws.keep(_on_source(targets.select("source", "source_size", "target"), found, "left"), "known")
+
+    def rated(rows: DataFrame) -> DataFrame:
+        x = F.col("size") / F.col("mean")
+        raw = F.least(F.exp(F.least(F.col("multiplier") * x, F.lit(700.0))), F.lit(float(most)))
+        whole = F.when(F.abs(raw - F.round(raw)) < 1e-9, F.round(raw)).otherwise(raw)
+        rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.coalesce(whole, F.lit(0.0)))
+        unit = F.pmod("seed", F.lit(1 << 32)) / F.lit(float(1 << 32))
+        key = ((F.col("rate") - F.floor("rate") - unit + 1) / 2 * F.lit(float((1 << KEY_BITS) - 1))).cast("long")
+        tie = F.pmod(F.xxhash64("line"), F.lit(1 << TIE_BITS))
+        return _on_source(rows, known).withColumn("rate", rate).withColumn("number", F.shiftleft(key, TIE_BITS).bitwiseOR(tie))
+
+    edges = _edges(rated(sizes), targets.select("source", "target"), ws)
+    done = _on_source(rated(packed), edges, "left")
+    extra = (F.col("rate") > F.floor("rate")) & (F.col("size") > 0) & (F.col("number") >= F.col("edge"))
+    done = done.withColumn("copies", (F.floor("rate") + F.coalesce(extra, F.lit(False)).cast("long")).cast("long"))
+    names = ["size", "source_size", "target", "rate", "copies", "taken"]
+    out = lambda c: f"input_{c}" if c in names else c
+    return done.withColumn("taken", F.col("copies") * F.col("size")).select(*(F.col(f"row.`{c}`").alias(out(c)) for c in others), *names)
