@@ -63,9 +63,17 @@ def kind_of_mode(mode: Column) -> Column:
     return F.when(top == 0o100000, "file").when(top == 0o040000, "dir").when(top == 0o120000, "symlink").otherwise("other")
 
 
+MOST = (1 << 63) - 1
+
+
+def full_sum(x: Column) -> Column:
+    """A sum of sizes that stops at the largest long; 0 of no rows."""
+    return F.when(F.count(x) == 0, F.lit(0).cast("long")).otherwise(F.coalesce(F.try_sum(x), F.lit(MOST)))
+
+
 def null_sum(x: Column) -> Column:
-    """A sum that any null makes null; 0 of no rows."""
-    return F.when(F.count_if(x.isNull()) > 0, F.lit(None).cast("long")).otherwise(F.coalesce(F.sum(x), F.lit(0)).cast("long"))
+    """A sum of sizes that any null makes null; 0 of no rows."""
+    return F.when(F.count_if(x.isNull()) > 0, F.lit(None).cast("long")).otherwise(full_sum(x))
 
 
 def labels(flags: Column, names: dict[int, str]) -> Column:

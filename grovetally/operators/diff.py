@@ -12,11 +12,14 @@ def last_of(frame: DataFrame, key: str, order: Column) -> DataFrame:
     return frame.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
-def long_form(left: DataFrame, right: DataFrame, fields: list[str], key: str = "path") -> DataFrame:
+def long_form(left: DataFrame, right: DataFrame, fields: list[str], key: str = "path", order: str | None = None) -> DataFrame:
     """path, field, left and right (text) of every field that differs, null equal to null.
 
-    A path in one side only is the field ``only_in_left`` or ``only_in_right``.
+    A path in one side only is the field ``only_in_left`` or ``only_in_right``.  With
+    ``order`` a path may have several rows on a side; the last by it counts.
     """
+    if order:
+        left, right = (last_of(side.select(key, *fields, order), key, F.col(order)) for side in (left, right))
     a = left.select(key, *(F.col(f).cast("string").alias(f"l_{f}") for f in fields), F.lit(True).alias("in_l"))
     b = right.select(key, *(F.col(f).cast("string").alias(f"r_{f}") for f in fields), F.lit(True).alias("in_r"))
     both = a.join(b, key, "full_outer")

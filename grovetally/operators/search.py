@@ -34,4 +34,4 @@ def by_extension(entries: DataFrame, folder: str = p.ROOT) -> DataFrame:
     """Totals of the leaves below a directory by extension."""
     leaves = entries.filter(p.inside(F.col("path"), folder)).filter("entry_kind <> 'dir'")
     ext = p.extension(p.basename(F.col("path")), F.col("entry_kind")).alias("ext")
-    return leaves.groupBy(ext).agg(F.sum("logical_size").cast("long").alias("value_logical"), p.null_sum(F.col("allocated_size")).alias("value_allocated"), F.count(F.lit(1)).alias("file_count"))
+    return leaves.groupBy(ext).agg(p.full_sum(F.col("logical_size")).alias("value_logical"), p.null_sum(F.col("allocated_size")).alias("value_allocated"), F.count(F.lit(1)).alias("file_count"))

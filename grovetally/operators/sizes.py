@@ -29,15 +29,33 @@ def allocated_size(kind: Column, has_inode: Column, compressed: Column, own: Col
     )
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, width: int, factor: int = 16) -> DataFrame:
     """Pairs of half-open ranges [ls, le) and [rs, re) that overlap.
 
-    Both sides are laid out in buckets of ``width`` and joined by bucket; a pair is
-    kept in the bucket where it first overlaps, so it appears once.
+    Buckets come in widths of ``width`` times powers of ``factor``.  A range's own width is
+    the least that is not below its length, so it lies in two buckets at most.  Of a
+    pair the shorter range is laid out in the longer one's width too; ranges of one
+    width meet in it.  A pair is kept in the bucket where it first overlaps.
     """
-    bucket = lambda frame, s, e: frame.withColumn("bucket", F.explode(F.expr(f"sequence({s} div {width}, ({e} - 1) div {width})")))
-    both = bucket(left.filter("le > ls"), "ls", "le").join(bucket(right.filter("re > rs"), "rs", "re"), "bucket")
-    return both.filter("ls < re AND rs < le").filter(F.expr(f"greatest(ls, rs) div {width} = bucket")).drop("bucket")
+    sized = lambda frame, s, e: frame.filter(f"{e} > {s}").withColumn("own", F.greatest(F.lit(0), F.ceil(F.log(float(factor), (F.col(e) - F.col(s)) / F.lit(width)) - 1e-9)).cast("int"))
+    left, right = sized(left, "ls", "le"), sized(right, "rs", "re")
+    top = max((frame.agg(F.max("own")).first()[0] or 0) for frame in (left, right))
+    widths = F.array(*(F.lit(width * factor**k).cast("long") for k in range(top + 1)))
+
+    def laid(frame: DataFrame, s: str, e: str, wider: bool) -> DataFrame:
+        """In the own width, or in every wider one."""
+        levels = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda k: k > F.col("own")) if wider else F.array("own")
+        wide = frame.withColumn("level", F.explode(levels)).withColumn("wide", F.get(widths, F.col("level")))
+        return wide.withColumn("bucket", F.explode(F.expr(f"sequence({s} div wide, ({e} - 1) div wide)"))).drop("own")
+
+    parts = [(laid(left, "ls", "le", False), laid(right, "rs", "re", False))]
+    if top:
+        parts += [(laid(left, "ls", "le", True), laid(right, "rs", "re", False)), (laid(left, "ls", "le", False), laid(right, "rs", "re", True))]
+    met = [a.join(b.drop("wide"), ["level", "bucket"]).filter("ls < re AND rs < le AND greatest(ls, rs) div wide = bucket").drop("level", "bucket", "wide") for a, b in parts]
+    out = met[0]
+    for more in met[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def shared_bytes(extents: DataFrame, blocks: DataFrame, block_size: int, width: int = 64) -> DataFrame:

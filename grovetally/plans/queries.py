@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as p
-from ..operators import asof, diff, hierarchy, history, search, sizes
+from ..operators import asof, diff, hierarchy, history, layout, probes, search, sizes
+from ..scratch import Scratch
 from ..sources import adapters as a
+from ..sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,13 +33,14 @@ ALL_NODES = """every AS (SELECT path, value_logical, value_allocated, item_count
 UP = "CASE WHEN path = '.' THEN NULL WHEN strpos(path, '/') = 0 THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END"
 NAME = "regexp_extract(path, '([^/]*)$', 1)"
 EXT = f"CASE WHEN regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1) = '' THEN '(no ext)' ELSE lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1)) END"
-UNIQUE = """once AS (SELECT *, row_number() OVER (PARTITION BY dir, file_id ORDER BY path) AS k FROM spread)
-SELECT dir AS path, CAST(sum(logical_size) AS BIGINT) AS unique_logical, CASE WHEN count(*) = count(allocated_size) THEN CAST(sum(allocated_size) AS BIGINT) END AS unique_allocated,
- count(*) AS unique_files FROM once WHERE k = 1 GROUP BY dir"""
+PART_DIRS = """dirs AS (SELECT '.' AS listed UNION SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem UNION SELECT l_suppkey || '/' || l_orderkey FROM lineitem WHERE l_orderkey % 7 <> 0)"""
+UNIQUE = f"""{PART_DIRS}, once AS (SELECT *, row_number() OVER (PARTITION BY dir, file_id ORDER BY path) AS k FROM spread)
+SELECT listed AS path, CAST(coalesce(sum(logical_size), 0) AS BIGINT) AS unique_logical, CASE WHEN count(file_id) = count(allocated_size) THEN CAST(coalesce(sum(allocated_size), 0) AS BIGINT) END AS unique_allocated,
+ count(file_id) AS unique_files FROM dirs LEFT JOIN (SELECT * FROM once WHERE k = 1) AS o ON listed = dir GROUP BY listed"""
 LATER = """later AS (SELECT CASE WHEN file_id % 13 = 0 THEN path || 'x' ELSE path END AS path, entry_kind, CASE WHEN file_id % 19 = 0 THEN file_id + 1 ELSE file_id END AS file_id,
  CASE WHEN file_id % 7 = 0 THEN logical_size + 1 ELSE logical_size END AS logical_size, CASE WHEN file_id % 17 <> 0 THEN allocated_size END AS allocated_size
  FROM files WHERE file_id % 11 <> 0)"""
-OMAP = """omap AS (SELECT user_id AS oid, event_id AS xid, event_id * 7 AS paddr, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS flags FROM events)"""
+OMAP = """omap AS (SELECT user_id AS oid, event_id AS xid, event_id * 7 AS paddr, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE CASE WHEN event_id % 23 = 0 THEN 4 ELSE 0 END END AS flags FROM events)"""
 EXTENTS = """fe AS (SELECT DISTINCT l_suppkey || '-' || l_partkey || '-' || l_orderkey || '-' || l_linenumber AS row_id, l_orderkey * 8 + l_linenumber AS ls, l_orderkey * 8 + l_linenumber + 1 + l_partkey % 12 AS le, l_partkey FROM lineitem),
 pe AS (SELECT o_orderkey * 8 AS rs, o_orderkey * 8 + 8 AS re, o_custkey % 4 AS refcnt FROM orders WHERE o_orderkey % 5 <> 0)"""
 STATES = """states AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, max(event_id) AS last_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1, 2)"""
@@ -61,6 +64,27 @@ def with_leaves(entries: DataFrame) -> DataFrame:
     return hierarchy.path_summed(entries).unionByName(leaves)
 
 
+def stored_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The node table of the order namespace: path, parent, name, depth and totals, in order of path.
+
+    A scan's tree is built once and then asked many times: the table is written to the
+    shared folder for each state of its input files and read back by every search.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    state = [folder]
+    for name in ("orders", "customer", "nation", "region"):
+        where = path(f"{folder}/{name}.parquet")
+        for f in where.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(where):
+            state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    made = context.__dict__.setdefault("_grovetally_nodes", {})
+    if str(state) not in made:
+        nodes = with_leaves(a.ns_orders(spark, folder))
+        nodes = nodes.select(*nodes.columns, p.parent(F.col("path")).alias("parent"), p.basename(F.col("path")).alias("name"), p.depth(F.col("path")).alias("depth"))
+        made[str(state)] = Scratch(spark, "nodes").keep(nodes.repartitionByRange("path").sortWithinPartitions("path"), "nodes")
+    return made[str(state)]
+
+
 @query(f"WITH {ORDERS}, {SPREAD}, {SUMMED} SELECT * FROM nodes")
 def dir_rollup_path_summed(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.path_summed(a.ns_orders(spark, folder))
@@ -68,12 +92,12 @@ def dir_rollup_path_summed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {PARTS}, {SPREAD}, {UNIQUE}")
 def dir_rollup_unique_inode(spark, folder):
-    return hierarchy.unique_inode(a.ns_parts(spark, folder))
+    return hierarchy.unique_inode(a.ns_parts(spark, folder, directories=True))
 
 
 @query(f"WITH {CONFLICT}, {SPREAD}, {UNIQUE}")
 def dir_rollup_first_path_wins(spark, folder):
-    return hierarchy.unique_inode(a.ns_parts(spark, folder, conflict=True))
+    return hierarchy.unique_inode(a.ns_parts(spark, folder, conflict=True, directories=True))
 
 
 @query(f"WITH {PARTS}, {SPREAD}, {SUMMED} SELECT path, value_allocated, value_allocated IS NULL AS unclaimed FROM nodes")
@@ -81,10 +105,9 @@ def dir_rollup_null_collapse(spark, folder):
     return hierarchy.path_summed(a.ns_parts(spark, folder)).select("path", "value_allocated", F.col("value_allocated").isNull().alias("unclaimed"))
 
 
-@query(f"WITH {PARTS}, {SPREAD}, once AS (SELECT dir, file_id FROM spread GROUP BY 1, 2) SELECT dir AS path, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id) AS ids FROM once GROUP BY dir")
+@query(f"WITH {PARTS}, {SPREAD}, {PART_DIRS} SELECT DISTINCT dir AS path, file_id FROM spread JOIN dirs ON dir = listed")
 def dir_contributing_ids(spark, folder):
-    found = hierarchy.unique_inode(a.ns_parts(spark, folder), with_ids=True)
-    return found.select("path", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return hierarchy.contributions(a.ns_parts(spark, folder, directories=True)).select("path", "file_id")
 
 
 @query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED} SELECT (SELECT count(*) FROM files) AS entries, (SELECT count(*) FROM files) + (SELECT count(*) FROM nodes) AS nodes,
@@ -114,25 +137,25 @@ def ext_summary(spark, folder):
 @query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED}, {ALL_NODES}, r AS (SELECT path, {UP} AS parent, value_logical, row_number() OVER (PARTITION BY {UP} ORDER BY value_logical DESC, {NAME}) AS rank,
  count(*) OVER (PARTITION BY {UP}) AS n FROM every WHERE path <> '.') SELECT parent, path, value_logical, rank, greatest(n - 5, 0) AS overflow FROM r WHERE rank <= 5""")
 def top_children(spark, folder):
-    found = hierarchy.top_children(with_leaves(a.ns_orders(spark, folder)), "value_logical", 5)
+    found = hierarchy.top_children(stored_nodes(spark, folder), "value_logical", 5)
     return found.select("parent", "path", "value_logical", F.col("rank").cast("long").alias("rank"), "overflow")
 
 
 @query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED}, {ALL_NODES} SELECT path, value_logical FROM every WHERE contains(lower(CASE WHEN path = '.' THEN '' ELSE {NAME} END), 'a')""")
 def search_matches(spark, folder):
-    return search.matches(with_leaves(a.ns_orders(spark, folder)), "A").select("path", "value_logical")
+    return search.matches(stored_nodes(spark, folder), "A").select("path", "value_logical")
 
 
 @query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED}, {ALL_NODES}, m AS (SELECT path, string_split(path, '/') AS s FROM every WHERE contains(lower({NAME}), '99') AND path <> '.')
  SELECT DISTINCT path FROM (SELECT path FROM m UNION ALL SELECT '.' UNION ALL SELECT CASE WHEN i = 0 THEN '.' ELSE array_to_string(s[1:i], '/') END FROM (SELECT s, unnest(range(len(s))) AS i FROM m)) AS t(path)""")
 def search_keep_set(spark, folder):
-    return search.keep_set(with_leaves(a.ns_orders(spark, folder)), "99")
+    return search.keep_set(stored_nodes(spark, folder), "99")
 
 
 @query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED}, {ALL_NODES}, m AS (SELECT path, value_logical FROM every WHERE contains(lower({NAME}), 'customer') AND path <> '.')
  SELECT path, value_logical, (SELECT count(*) FROM m) AS total FROM m ORDER BY value_logical DESC, path LIMIT 20""")
 def top_search_hits(spark, folder):
-    return search.top_hits(with_leaves(a.ns_orders(spark, folder)), "Customer", "value_logical", 20).select("path", "value_logical", "total")
+    return search.top_hits(stored_nodes(spark, folder), "Customer", "value_logical", 20).select("path", "value_logical", "total")
 
 
 @query(f"WITH {ORDERS} SELECT path, logical_size FROM files WHERE path = 'ASIA' OR path LIKE 'ASIA/%'")
@@ -142,13 +165,13 @@ def subtree_filter(spark, folder):
 
 @query(f"WITH {ORDERS}, {SPREAD}, {SUMMED} SELECT path, value_logical FROM nodes WHERE path = '.' OR len(string_split(path, '/')) <= 2")
 def depth_cap(spark, folder):
-    return hierarchy.path_summed(a.ns_orders(spark, folder)).filter(p.depth(F.col("path")) <= 2).select("path", "value_logical")
+    return stored_nodes(spark, folder).filter("depth <= 2").select("path", "value_logical")
 
 
 @query(f"WITH {ORDERS}, {SPREAD}, {SUMMED} SELECT asked, path, value_logical FROM nodes JOIN (VALUES ('/ASIA//', 'ASIA'), ('', '.'), ('EUROPE/', 'EUROPE'), ('/', '.')) AS q(asked, wanted) ON path = wanted")
 def path_lookup(spark, folder):
     asked = spark.createDataFrame([("/ASIA//",), ("",), ("EUROPE/",), ("/",)], "asked string").withColumn("path", p.normalised(F.col("asked")))
-    return hierarchy.path_summed(a.ns_orders(spark, folder)).join(F.broadcast(asked), "path").select("asked", "path", "value_logical")
+    return stored_nodes(spark, folder).join(F.broadcast(asked), "path").select("asked", "path", "value_logical")
 
 
 @query(f"WITH {ORDERS}, {SPREAD} SELECT path, string_agg(dir, '>' ORDER BY length(CASE WHEN dir = '.' THEN '' ELSE dir END)) AS chain FROM spread GROUP BY path")
@@ -159,16 +182,17 @@ def ancestor_chain(spark, folder):
 @query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED}, {ALL_NODES}, q AS (SELECT path, value_logical, {UP} AS up FROM every)
  SELECT q.path, CASE WHEN n.value_logical > 0 THEN q.value_logical * 10000 // n.value_logical END AS percent_x100 FROM q LEFT JOIN nodes n ON q.up = n.path""")
 def percent_of_parent(spark, folder):
-    return hierarchy.percent_of_parent(with_leaves(a.ns_orders(spark, folder)), "value_logical")
+    return hierarchy.percent_of_parent(stored_nodes(spark, folder), "value_logical")
 
 
 REASONS = "CASE event_type WHEN 'error' THEN 'permission_denied' WHEN 'view' THEN 'not_found' WHEN 'click' THEN 'mount_boundary' ELSE 'read_error:Other' END"
 
 
-@query(f"WITH s AS (SELECT 'p/' || event_id AS path, {REASONS} AS reason FROM events) SELECT reason, count(*) AS n, min(path) AS first_path FROM s GROUP BY reason")
+@query(f"""WITH s AS (SELECT 'p/' || event_id AS path, {REASONS} AS reason FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY path) AS k, count(*) OVER (PARTITION BY reason) AS n FROM s)
+ SELECT reason, n, string_agg(path, ',' ORDER BY path) AS paths, greatest(n - 5, 0) AS overflow FROM r WHERE k <= 5 GROUP BY reason, n""")
 def skip_histogram(spark, folder):
     skips = a.table(spark, folder, "events").select(F.concat(F.lit("p/"), F.col("event_id").cast("string")).alias("path"), F.expr(REASONS).alias("reason"))
-    return skips.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+    return probes.skip_samples(skips)
 
 
 def _scans(spark, folder):
@@ -190,6 +214,15 @@ def scan_diff_long(spark, folder):
     return diff.long_form(*_scans(spark, folder), _FIELDS)
 
 
+@query(f"""{_CHANGES}, x AS (SELECT path, field, left_value AS right_value, right_value AS left_value FROM d) SELECT path, field, left_value, right_value FROM x WHERE field IN ('logical_size', 'allocated_size')
+ UNION ALL SELECT path, 'only_in_left', NULL, NULL FROM x WHERE field = 'only_in_right'""")
+def scan_diff_last_row(spark, folder):
+    """A listing that a later one was added to, against the first: of two rows of a path the later counts."""
+    before, after = _scans(spark, folder)
+    both = before.withColumn("seq", F.lit(0)).unionByName(after.withColumn("seq", F.lit(1)))
+    return diff.long_form(both, before.withColumn("seq", F.lit(0)), _FIELDS, order="seq")
+
+
 @query(f"{_CHANGES} SELECT field, count(*) AS n FROM d GROUP BY field")
 def scan_diff_summary(spark, folder):
     return diff.summary(diff.long_form(*_scans(spark, folder), _FIELDS))
@@ -227,6 +260,7 @@ def union_scans(spark, folder):
     return a.ns_orders(spark, folder).unionByName(a.ns_parts(spark, folder))
 
 
+_REJECT = "CASE WHEN flags & 28 <> 0 THEN 'unsupported_flags' END AS reject"
 _LAST = "(SELECT *, row_number() OVER (PARTITION BY oid ORDER BY xid DESC) AS k FROM omap WHERE xid <= (SELECT max(event_id) // 2 FROM events)) AS t"
 
 
@@ -234,9 +268,9 @@ def _half(spark, folder) -> int:
     return a.table(spark, folder, "events").agg(F.max("event_id")).first()[0] // 2
 
 
-@query(f"WITH {OMAP} SELECT oid, xid, paddr, flags FROM {_LAST} WHERE k = 1 AND flags & 1 = 0")
+@query(f"WITH {OMAP} SELECT oid, xid, paddr, flags, {_REJECT} FROM {_LAST} WHERE k = 1 AND flags & 1 = 0")
 def asof_lookup(spark, folder):
-    return asof.as_of(a.omap(spark, folder), _half(spark, folder)).select("oid", "xid", "paddr", "flags")
+    return asof.as_of(a.omap(spark, folder), _half(spark, folder)).select("oid", "xid", "paddr", "flags", "reject")
 
 
 @query(f"WITH {OMAP} SELECT oid FROM {_LAST} WHERE k = 1 AND flags & 1 <> 0")
@@ -247,7 +281,7 @@ def asof_tombstone(spark, folder):
 
 @query(f"""WITH {OMAP}, probes AS (SELECT o_orderkey AS probe_id, o_custkey % 150 AS oid, o_orderkey % (SELECT max(event_id) FROM events) AS most FROM orders),
  m AS (SELECT probe_id, p.oid, xid, paddr, flags, row_number() OVER (PARTITION BY probe_id ORDER BY xid DESC) AS k FROM probes p JOIN omap o ON p.oid = o.oid AND o.xid <= p.most)
- SELECT probe_id, oid, xid, paddr, flags FROM m WHERE k = 1 AND flags & 1 = 0""")
+ SELECT probe_id, oid, xid, paddr, flags, {_REJECT} FROM m WHERE k = 1 AND flags & 1 = 0""")
 def asof_join(spark, folder):
     last = a.table(spark, folder, "events").agg(F.max("event_id")).first()[0]
     probes = a.table(spark, folder, "orders").select(F.col("o_orderkey").alias("probe_id"), (F.col("o_custkey") % 150).alias("oid"), (F.col("o_orderkey") % last).alias("most"))
@@ -287,17 +321,15 @@ def extent_overlaps(spark, folder):
 
 
 @query(f"""WITH {EXTENTS}, {_SHARED}, totals AS (SELECT l_partkey AS stream_id, CAST(sum(bytes) AS BIGINT) AS total FROM bytes GROUP BY 1),
- owners AS (SELECT s.s AS stream_id, s.s + k.k AS file_id, 3 AS refs FROM (SELECT DISTINCT l_partkey AS s FROM lineitem) s, (SELECT unnest(range(3)) AS k) k)
- SELECT file_id, o.stream_id, total // refs + CASE WHEN file_id = o.stream_id THEN total % refs ELSE 0 END AS real_size FROM owners o JOIN totals t ON o.stream_id = t.stream_id""")
+ owners AS (SELECT DISTINCT l_partkey AS stream_id, l_partkey AS file_id, greatest(l_partkey % 4, 1) AS refs FROM lineitem UNION SELECT DISTINCT l_partkey, l_partkey + 1000000, greatest(l_partkey % 4, 1) FROM lineitem)
+ SELECT file_id, total // refs + CASE WHEN file_id = o.stream_id THEN total % refs ELSE 0 END AS real_size FROM owners o JOIN totals t ON o.stream_id = t.stream_id""")
 def real_size(spark, folder):
+    """Every stream is a file's own and a clone's; none counts once where its count is 0."""
     files, blocks = a.extents(spark, folder)
     streams = files.select("row_id", F.split("row_id", "-")[1].cast("long").alias("stream_id"))
-    totals = sizes.shared_bytes(files, blocks, 4096).join(streams, "row_id").groupBy("stream_id").agg(F.sum("bytes").alias("bytes")).withColumn("refcnt", F.lit(3))
-    owners = streams.select("stream_id").distinct().select("stream_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("stream_id", (F.col("stream_id") + F.col("k")).alias("file_id"))
-    # A file id may own several streams here; each keeps its own row.
-    spread = owners.join(totals, "stream_id")
-    share = F.expr("bytes div refcnt") + F.when(F.col("file_id") == F.col("stream_id"), F.expr("bytes % refcnt")).otherwise(0)
-    return spread.select("file_id", "stream_id", share.cast("long").alias("real_size"))
+    totals = sizes.shared_bytes(files, blocks, 4096).join(streams, "row_id").groupBy("stream_id").agg(p.full_sum(F.col("bytes")).alias("bytes")).withColumn("refcnt", F.col("stream_id") % 4)
+    owners = streams.select("stream_id").distinct().select("stream_id", F.explode(F.array("stream_id", F.col("stream_id") + 1000000)).alias("file_id"))
+    return sizes.real_size(totals, owners)
 
 
 _INODES = "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'symlink' WHEN p_size % 7 = 0 THEN 'dir' ELSE 'file' END AS kind, p_size % 11 <> 0 AS has_inode, p_size % 3 = 0 AS compressed, p_name, CAST(p_size AS BIGINT) AS size FROM part"
@@ -364,7 +396,7 @@ def tree_expand(spark, folder):
     return hierarchy.expand_edges(_edges(spark, folder), 2)[0]
 
 
-@query()
+@query("""SELECT r_name || '/' || n_name || '/' || c_name || '/loop' AS path, 'drec_cycle(file_id=3)' AS reason FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 50 = 0""")
 def tree_expand_cycle(spark, folder):
     """A customer that is also a directory of its own orders' region: told, not followed."""
     back = a.table(spark, folder, "customer").filter("c_custkey % 50 = 0").select(
@@ -398,7 +430,7 @@ def _linked_dirs(spark, folder):
 
 @query(f"WITH {ORDERS} SELECT path, entry_kind, logical_size, CAST(NULL AS VARCHAR) AS symlink_target FROM files")
 def slim_projection(spark, folder):
-    return a.ns_orders(spark, folder).select("path", "entry_kind", "logical_size", F.lit(None).cast("string").alias("symlink_target"))
+    return sinks.slim(a.ns_orders(spark, folder).withColumn("symlink_target", F.lit(None).cast("string")))
 
 
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id & 1 <> 0 THEN 'deleted' END, CASE WHEN event_id & 2 <> 0 THEN 'saved' END, CASE WHEN event_id & 4 <> 0 THEN 'encrypted' END,
@@ -452,28 +484,33 @@ def bench_stats(spark, folder):
     )
 
 
-@query()
+@query(f"""WITH {ORDERS}, {SPREAD}, {SUMMED} SELECT bit_xor(CAST('0x' || substr(md5(path || '|' || item_count || '|' || value_logical), 1, 15) AS BIGINT)) AS signature, count(*) AS directories FROM nodes""")
 def dir_signature(spark, folder):
-    """An order-free signature of every region's directories."""
-    dirs = hierarchy.path_summed(a.ns_orders(spark, folder)).filter(F.col("path") != p.ROOT)
-    return dirs.groupBy(F.split("path", "/")[0].alias("root")).agg(F.bit_xor(F.xxhash64("path", "item_count")).alias("signature"), F.count(F.lit(1)).alias("directories"))
+    """One signature of all directories, with their item counts and totals in place of times."""
+    dirs = hierarchy.path_summed(a.ns_orders(spark, folder))
+    return sinks.signature(dirs.select("path", F.col("item_count").alias("mtime_ns"), F.col("value_logical").alias("ctime_ns")))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 1975088 WHEN p_size % 6 = 1 THEN 8227481 WHEN p_size % 6 = 2 THEN 5990265 WHEN p_size % 6 = 3 THEN 3882826 ELSE 10134450 END AS fill_rgb FROM part""")
-def fill_color(spark, folder):
-    from ..operators import layout
+_SUFFIX = ["rs", "TXT", "xyz", "Xyz", "c", "pages", "webp", "unknown12", "", "h"]
+_NAMED = "SELECT p_partkey, p_size, p_size % 10 AS k, list_value('rs', 'TXT', 'xyz', 'Xyz', 'c', 'pages', 'webp', 'unknown12', '', 'h' || p_partkey)[CAST(p_size % 10 + 1 AS INTEGER)] AS ext FROM part"
+
 
+@query(f"""WITH n AS ({_NAMED}), h AS (SELECT *, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(ext) + 1), lambda i: CAST(ascii(ext[i:i]) AS BIGINT))), lambda x, y: (xor(x, y) * 16777619) & 4294967295) % 360 AS hue FROM n),
+ c AS (SELECT *, list_transform([0, 240, 120], lambda t: CAST(floor((0.565 + 0.27 * greatest(0.0, least(1.0, abs(((hue + t) % 360) / 60.0 - 3) - 1))) * 255 + 1e-9) AS BIGINT)) AS rgb FROM h)
+ SELECT p_partkey, CASE WHEN p_size % 12 = 11 THEN 3882826 WHEN p_size % 17 = 0 THEN 1975088 WHEN p_size % 17 = 1 THEN 8227481 WHEN p_size % 17 = 2 THEN 5990265 WHEN ext = '' THEN 10134450 WHEN ext = 'rs' THEN 16760991
+ WHEN ext = 'TXT' THEN 10536191 WHEN ext = 'c' THEN 12432127 WHEN ext = 'pages' THEN 15681391 WHEN ext = 'webp' THEN 9358054 ELSE rgb[1] * 65536 + rgb[2] * 256 + rgb[3] END AS fill_rgb FROM c""")
+def fill_color(spark, folder):
     size = F.col("p_size")
-    kind = F.when(size % 6 == 0, "dir").when(size % 6 == 1, "symlink").when(size % 6 == 2, "other").otherwise("file")
-    unknown = size % 6 == 3
-    return a.table(spark, folder, "part").select("p_partkey", layout.fill(F.lit("plain"), kind, unknown).cast("long").alias("fill_rgb"))
+    kind = F.when(size % 17 == 0, "dir").when(size % 17 == 1, "symlink").when(size % 17 == 2, "other").otherwise("file")
+    ext = F.get(F.array(*(F.lit(x) if x != "h" else F.concat(F.lit("h"), F.col("p_partkey")) for x in _SUFFIX)), (size % 10).cast("int"))
+    name = F.concat(F.lit("a.name"), F.when(ext == "", "").otherwise("."), ext)
+    plain = F.when(ext == "", F.lit("no dot")).otherwise(name)
+    return a.table(spark, folder, "part").select("p_partkey", layout.fill(plain, kind, size % 12 == 11).alias("fill_rgb"))
 
 
 @query()
 def treemap_cells(spark, folder):
-    from ..operators import layout
-
-    return layout.cells(with_leaves(a.ns_orders(spark, folder)), max_depth=2, width=1024.0, height=768.0)
+    return layout.cells(stored_nodes(spark, folder), max_depth=2, width=1024.0, height=768.0)
 
 
 @query(f"""WITH {EXTENTS}, m AS (SELECT row_id, ls, le, greatest(ls, rs) AS s, least(le, re) AS e, CAST(refcnt AS BIGINT) AS refcnt FROM fe JOIN pe ON ls < re AND rs < le
@@ -507,14 +544,18 @@ def link_map(spark, folder):
     return entries.join(links, "prefix", "left").select("path", F.col("target").isNotNull().alias("is_link"), "target")
 
 
-@query(f"""WITH {ORDERS} SELECT string_split(path, '/')[1] AS root, sha256(string_agg(path || '|' || entry_kind || '|' || file_id || '|' || logical_size, chr(10) ORDER BY path)) AS digest
- FROM files WHERE file_id % 50 = 0 GROUP BY 1""")
+def _above(below: str, name: str) -> str:
+    """SQL of the digests of the directories that hold those of ``below``."""
+    return f"""{name} AS (SELECT path, sha256(':' || sha256(string_agg(x, chr(10) ORDER BY child))) AS digest FROM
+ (SELECT CASE WHEN strpos(path, '/') = 0 THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS path, path AS child, path || '|' || digest AS x FROM {below}) AS t GROUP BY path)"""
+
+
+@query(f"""WITH {ORDERS}, l AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, path, CAST('0x' || substr(md5(path), 1, 8) AS BIGINT) % 1024 AS k, path || '|' || entry_kind || '|' || file_id || '|' || logical_size AS x FROM files),
+ q AS (SELECT up, k, sha256(string_agg(x, chr(10) ORDER BY path)) AS x FROM l GROUP BY up, k), d3 AS (SELECT up AS path, sha256(sha256(string_agg(x, chr(10) ORDER BY k)) || ':') AS digest FROM q GROUP BY up),
+ {_above('d3', 'd2')}, {_above('d2', 'd1')}, {_above('d1', 'd0')} SELECT * FROM d3 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d0""")
 def entry_digest(spark, folder):
-    """A digest for each root of a listing's lines in order of path."""
-    line = F.concat_ws("|", "path", "entry_kind", "file_id", "logical_size")
-    rows = a.ns_orders(spark, folder).filter("file_id % 50 = 0").select(F.substring_index("path", "/", 1).alias("root"), F.struct("path", line.alias("line")).alias("x"))
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n")
-    return rows.groupBy("root").agg(F.sha2(lines, 256).alias("digest"))
+    """A digest of every directory's listing, of all lines below it."""
+    return hierarchy.digests(a.ns_orders(spark, folder), ["entry_kind", "file_id", "logical_size"])
 
 
 @query(f"WITH {PARTS} SELECT file_id, count(DISTINCT {NAME}) AS names, min({NAME}) AS first_name FROM (SELECT path, file_id FROM files) AS f GROUP BY file_id")
@@ -564,7 +605,5 @@ def churn(spark, folder):
 
 @query()
 def treemap_hits(spark, folder):
-    from ..operators import layout
-
     points = a.table(spark, folder, "events").selectExpr("event_id AS point_id", "double(event_id * 37 % 1024) AS x", "double(event_id * 91 % 768) AS y")
     return layout.hits(points, treemap_cells(spark, folder), 1024.0, 768.0)

@@ -34,7 +34,8 @@ def summary(entries: DataFrame, aggregates: DataFrame, skips: DataFrame) -> Data
 
 def signature(directories: DataFrame) -> DataFrame:
     """One row that changes when a directory (path, mtime_ns, ctime_ns) appears, goes or changes, in any order."""
-    return directories.agg(F.coalesce(F.bit_xor(F.xxhash64("path", "mtime_ns", "ctime_ns")), F.lit(0)).alias("signature"), F.count(F.lit(1)).alias("directories"))
+    sign = F.conv(F.substring(F.md5(F.concat_ws("|", "path", "mtime_ns", "ctime_ns")), 1, 15), 16, 10).cast("long")
+    return directories.agg(F.coalesce(F.bit_xor(sign), F.lit(0)).alias("signature"), F.count(F.lit(1)).alias("directories"))
 
 
 def save_scan(entries: DataFrame, folder: str, key: str, sign: int) -> None:

@@ -26,9 +26,10 @@ PROOF = [
 
 def test_two_kinds_of_totals(spark):
     e = entries(spark, PROOF)
-    unique = by_path(hierarchy.unique_inode(e, with_ids=True))
-    assert unique["."][0] == unique["dst"][0] == 1048593 and unique["."][3] == [20, 23, 24]
-    assert unique["src"][:3] == (0, 0, 0)
+    unique = by_path(hierarchy.unique_inode(e))
+    assert unique["."][0] == unique["dst"][0] == 1048593
+    assert unique["src"] == (0, 0, 0)
+    assert sorted(r.file_id for r in hierarchy.contributions(e).filter("path = '.'").collect()) == [20, 23, 24]
     summed = by_path(hierarchy.path_summed(e))
     assert summed["."] == (1048613, 1048604, 5) and summed["src"] == (0, 0, 0)
 
@@ -41,9 +42,19 @@ def test_unknown_sizes_collapse(spark):
 
 
 def test_first_path_wins_and_missing_directories(spark):
-    e = entries(spark, [("z/f", "file", 1, 7, 7), ("a/deep/f", "file", 1, 5, None), ("a/deep/g", "file", 1, 6, 6)])
-    found = by_path(hierarchy.unique_inode(e))
-    assert found == {".": (5, None, 1), "a": (5, None, 1), "a/deep": (5, None, 1), "z": (7, 7, 1)}
+    files = [("z/f", "file", 1, 7, 7), ("a/deep/f", "file", 1, 5, None), ("a/deep/g", "file", 1, 6, 6)]
+    assert by_path(hierarchy.unique_inode(entries(spark, files))) == {".": (5, None, 1)}
+    # Directories without a row have no totals; what is below them counts further up.
+    listed = files + [("a", "dir", 90, 0, 0), ("z", "dir", 91, 0, 0), ("empty", "dir", 92, 0, 0)]
+    assert by_path(hierarchy.unique_inode(entries(spark, listed))) == {".": (5, None, 1), "a": (5, None, 1), "z": (7, 7, 1), "empty": (0, 0, 0)}
+    assert by_path(hierarchy.unique_inode(entries(spark, [("a", "dir", 1, 0, 0), ("a/b/f", "file", 2, 3, 3)]))) == {".": (3, 3, 1), "a": (3, 3, 1)}
+
+
+def test_sums_stop_at_the_largest_long(spark):
+    most = (1 << 63) - 1
+    e = entries(spark, [("a/x", "file", 1, most, most), ("a/y", "file", 2, 5, 5), ("a/c/z.q", "file", 3, most, None)])
+    assert by_path(hierarchy.path_summed(e)) == {".": (most, None, 3), "a": (most, None, 3), "a/c": (most, None, 1)}
+    assert by_path(search.by_extension(e)) == {".q": (most, None, 1), "(no ext)": (most, most, 2)}
 
 
 def test_empty_scan(spark):
@@ -69,6 +80,35 @@ def test_expand_edges(spark):
     assert found.count() == 4 and [tuple(r) for r in skips.collect()] == [("d/d/d/d", "depth_cap_reached(4)")]
 
 
+def test_expand_a_deep_chain(spark):
+    edge = "parent_id long, name string, file_id long, entry_kind string"
+    rows = [(2 + i, "d", 3 + i, "dir") for i in range(40)] + [(2, ".fseventsd", 900, "dir"), (900, "x", 901, "file")]
+    found, skips = hierarchy.expand_edges(spark.createDataFrame(rows, edge), 2)
+    assert sorted(r.depth for r in found.collect()) == list(range(1, 41)) and skips.count() == 0
+
+
+def test_digests_tell_every_change(spark):
+    rows = [("a/x", "file", 1, 5, 1), ("a/y", "file", 2, 6, 1), ("b/c/z", "file", 3, 7, None), ("top", "file", 4, 8, 1)]
+    digest = lambda r: by_path(hierarchy.digests(entries(spark, r), ["entry_kind", "file_id", "logical_size"], part=2))
+    first, again, other = digest(rows), digest(rows[::-1]), digest(rows[:2] + [("b/c/z", "file", 3, 9, None)] + rows[3:])
+    assert first == again and set(first) == {".", "a", "b", "b/c"}
+    assert {k for k in first if first[k] != other[k]} == {".", "b", "b/c"}
+
+
+def test_as_of_each_against_brute_force(spark):
+    rng = random.Random(4)
+    versions = list({(rng.choice([1, 1, 1, 2, 3]), rng.randint(-50, 3000)): 0 for _ in range(400)})
+    versions = [(o, x, x * 7, rng.choice([0, 0, 1, 2, 4, 32])) for o, x in versions]
+    probes = [(i, rng.choice([1, 1, 2, 3, 9]), rng.randint(-80, 3200)) for i in range(300)] + [(900, None, 5)]
+    got = asof.as_of_each(spark.createDataFrame(probes, "probe_id long, oid long, most long"), spark.createDataFrame(versions, "oid long, xid long, paddr long, flags long"), cuts=7)
+    want = []
+    for i, o, most in probes:
+        last = max((v for v in versions if v[0] == o and v[1] <= most), key=lambda v: v[1], default=None)
+        if last and not last[3] & asof.DELETED:
+            want.append((i, o, last[1], last[2], last[3], "unsupported_flags" if last[3] & ~3 else None))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_as_of(spark):
     v = lambda rows: spark.createDataFrame(rows, "oid long, xid long, paddr long, flags long")
     three = v([(100, 5, 1000, 0), (100, 10, 2000, 0), (100, 20, 3000, 0)])
@@ -106,6 +146,13 @@ def test_overlaps_against_brute_force(spark):
     assert sorted((r.row_id, r.ls, r.le, r.rs, r.re) for r in got.collect()) == want
 
 
+def test_long_ranges_are_not_laid_out_in_narrow_buckets(spark):
+    files = spark.createDataFrame([("long", 10, 1 << 36), ("short", 70, 90), ("mid", 5000, 9000), ("none", 4, 4)], "row_id string, ls long, le long")
+    blocks = spark.createDataFrame([(0, 1 << 30, 2), (80, 81, 3), (1 << 35, 1 << 37, 4)], "rs long, re long, refcnt long")
+    got = sorted((r.row_id, r.refcnt) for r in sizes.overlaps(files, blocks, 64).collect())
+    assert got == [("long", 2), ("long", 3), ("long", 4), ("mid", 2), ("short", 2), ("short", 3)]
+
+
 def test_real_size_conserves_bytes(spark):
     totals = spark.createDataFrame([(23, 65536, 5)], "stream_id long, bytes long, refcnt long")
     owners = spark.createDataFrame([(i, 23) for i in range(23, 28)], "file_id long, stream_id long")
@@ -145,7 +192,32 @@ def test_squarify_fills_the_area(spark):
     assert [round((x1 - x0) * (y1 - y0), 6) for x0, y0, x1, y1 in rects] == [6, 6, 4, 3, 2, 2, 1]
     nodes = hierarchy.path_summed(entries(spark, [("a/x", "file", 1, 30, 1), ("b", "file", 2, 10, 1), ("c", "file", 3, 0, 1)]))
     found = layout.cells(nodes, 2, 100.0, 100.0).collect()
-    assert {r.path for r in found} == {"a"} and all(0 <= r.x0 < r.x1 <= 100 for r in found)
+    at = {r.path: (r.x0, r.y0, r.x1, r.y1) for r in found}
+    assert set(at) == {"a"} and all(0 <= r.x0 < r.x1 <= 100 for r in found)
+    assert at["a"] == (0, 0, 100, 100)
+
+
+def test_cells_keep_an_edge_and_a_label(spark):
+    nodes = hierarchy.path_summed(entries(spark, [("a/x/f", "file", 1, 30, 1), ("b/f", "file", 2, 10, 1)]))
+    at = {r.path: (r.x0, r.y0, r.x1, r.y1) for r in layout.cells(nodes, 2, 400.0, 100.0).collect()}
+    assert at == {"a": (0, 0, 300, 100), "b": (300, 0, 400, 100), "a/x": (1, 15, 299, 99)}
+
+
+def test_fill_colours(spark):
+    names = [("a.rs", "file"), ("a.TXT", "file"), ("x.FOO", "file"), ("x.foo", "file"), (".rs", "file"), ("rs.", "file"), ("d.rs", "dir"), ("no", "file"), ("a.b.go", "file")]
+    frame = spark.createDataFrame(names, "name string, kind string")
+    got = {r[0]: r[1] for r in frame.select("name", layout.fill(F.col("name"), F.col("kind"), F.lit(False))).collect()}
+
+    def hashed(text):
+        import colorsys
+
+        h = 2166136261
+        for b in text.encode():
+            h = (h ^ b) * 16777619 % (1 << 32)
+        r, g, b = (int(c * 255 + 1e-9) for c in colorsys.hls_to_rgb(h % 360 / 360, 0.70, 0.45))
+        return r * 65536 + g * 256 + b
+
+    assert got == {"a.rs": 0xFFC09F, "a.TXT": 0xA0C4FF, "x.FOO": hashed("FOO"), "x.foo": hashed("foo"), ".rs": 0x9AA3B2, "rs.": 0x9AA3B2, "d.rs": 0x1E2330, "no": 0x9AA3B2, "a.b.go": 0x9BF6FF}
 
 
 @pytest.fixture()
@@ -191,5 +263,5 @@ def test_treemap_hits_asks_every_event(spark, tmp_path):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r.point_id: r.path for r in queries.treemap_hits(spark, str(tmp_path)).collect()}
-    inside = lambda i, pad: pad <= i * 37 % 1024 < 1024 - pad and pad <= i * 91 % 768 < 768 - pad
-    assert got == {i: "r/n" if inside(i, 2) else "r" for i in range(200) if inside(i, 1)}
+    where = lambda i: (i * 37 % 1024, i * 91 % 768)
+    assert got == {i: "r/n" if 1 <= x < 1023 and 15 <= y < 767 else "r" for i in range(200) for x, y in [where(i)]}
