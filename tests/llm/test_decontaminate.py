@@ -104,7 +104,7 @@ def test_windows_that_contradict_the_rest_do_not_count(spark):
     moved = item.replace("Alba", "Brno")
     docs = spark.createDataFrame([(1, moved, "", "", 0), (2, moved.replace("mayor of Brno", "mayor of Cork"), "", "", 0)], DOCS)
     got = {r.doc_id: (r.matched, r.item_windows, r.reparameterised) for r in d.contaminated(spark, docs, spark.createDataFrame([(7, item, 0)], ITEMS)).collect()}
-    assert got[1] == (16, 16, True) and got[2][0] < 16 and got[2][2]
+    assert got == {1: (17, 17, True), 2: (12, 17, True)}
 
 
 def test_empty_tables(spark):
