@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .tokens import mix, tidy
 
 N, HASHES, POSITIONS = 4, 2, 1 << 21
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 WORD_BITS = 62
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -48,25 +48,39 @@ def _letters() -> np.ndarray:
     return table
 
 
+def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the n-gram at every place, and the places of those with a letter."""
+    points = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    count = max(0, len(points) - N + 1)
+    wide, letter = points.astype(np.uint64), points != 32
+    hashes, useful = np.zeros(count, dtype=np.uint64), np.zeros(count, dtype=bool)
+    for k in range(N):
+        hashes += wide[k : k + count] * _FACTORS[k]
+        useful |= letter[k : k + count]
+    return hashes, np.flatnonzero(useful)
+
+
 def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pieces of whole texts: (first text, number of texts, rows within them, n-gram hashes)."""
-    first = 0
+    """Pieces of texts: (first text, number of texts, rows within them, n-gram hashes).
+
+    A text longer than a piece comes in several, each n-gram in one of them.
+    """
+    first, gap = 0, " " * (N - 1)
     while first < len(texts):
+        if len(texts[first] or "") > CHUNK:
+            padded = gap + texts[first] + gap
+            for at in range(0, len(padded) - N + 1, CHUNK):
+                hashes, useful = _hashed(padded[at : at + CHUNK + N - 1])
+                yield first, 1, np.zeros(len(useful), dtype=np.int64), mix(hashes[useful])
+            first += 1
+            continue
         last, size = first, 0
         while last < len(texts) and (last == first or size + len(texts[last] or "") <= CHUNK):
             size += len(texts[last] or "")
             last += 1
-        gap = " " * (N - 1)
         joined = gap + gap.join(t or "" for t in texts[first:last]) + gap
-        points = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         starts = np.cumsum([N - 1] + [len(t or "") + N - 1 for t in texts[first : last - 1]])
-        count = max(0, len(points) - N + 1)
-        wide, letter = points.astype(np.uint64), points != 32
-        hashes, useful = np.zeros(count, dtype=np.uint64), np.zeros(count, dtype=bool)
-        for k in range(N):
-            hashes += wide[k : k + count] * _FACTORS[k]
-            useful |= letter[k : k + count]
-        at = np.flatnonzero(useful)
+        hashes, at = _hashed(joined)
         # A window belongs to the text that its letters are in; gaps are too long for two.
         rows = np.searchsorted(starts, at + N - 1, "right") - 1
         yield first, last - first, rows, mix(hashes[at])
@@ -111,9 +125,10 @@ class Model:
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return langs, scores
+        seen, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
         for first, count, rows, hashes in grams(texts):
-            seen = np.bincount(rows, minlength=count)
-            hits = np.zeros((count, len(self.langs)))
+            seen[first : first + count] += np.bincount(rows, minlength=count)
+            own = hits[first : first + count]
             places = positions(hashes)
             for word, masks in enumerate(self.table):
                 found = masks[places[0]]
@@ -123,16 +138,16 @@ class Model:
                 if width <= 8:
                     sums = np.bincount((rows << width) + found, minlength=count << width).reshape(count, 1 << width)
                     bits = (np.arange(1 << width)[:, None] >> np.arange(width)) & 1
-                    hits[:, word * WORD_BITS :][:, :width] = sums @ bits
+                    own[:, word * WORD_BITS :][:, :width] += sums @ bits
                 else:
                     for b in range(width):
-                        hits[:, word * WORD_BITS + b] = np.bincount(rows, weights=(found >> b) & 1, minlength=count)
-            fair = np.maximum((hits - seen[:, None] * self.chance) / (1 - self.chance), 0)
-            best = np.lexsort((np.broadcast_to(self.order, fair.shape), -fair), axis=1)[:, 0]
-            total = fair.sum(axis=1)
-            share = np.divide(fair[np.arange(count), best], total, out=np.full(count, 1.0 / len(self.langs)), where=total > 0)
-            for i in np.flatnonzero(seen):
-                langs[first + i], scores[first + i] = self.langs[best[i]], share[i]
+                        own[:, word * WORD_BITS + b] += np.bincount(rows, weights=(found >> b) & 1, minlength=count)
+        fair = np.maximum((hits - seen[:, None] * self.chance) / (1 - self.chance), 0)
+        best = np.lexsort((np.broadcast_to(self.order, fair.shape), -fair), axis=1)[:, 0]
+        total = fair.sum(axis=1)
+        share = np.divide(fair[np.arange(len(texts)), best], total, out=np.full(len(texts), 1.0 / len(self.langs)), where=total > 0)
+        for i in np.flatnonzero(seen):
+            langs[i], scores[i] = self.langs[best[i]], share[i]
         return langs, scores
 
 

@@ -76,3 +76,34 @@ def test_no_learning_rows_and_many_languages(spark):
     model = langid.fit(frame, F.lit(True))
     assert model.table.shape[0] == 2
     assert np.mean([r.lang_pred == f"l{r.doc_id % 70:02d}" for r in langid.predict(frame, model).collect()]) > 0.99
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    text = "Kato mi, resu 7 — кто ach " * 900
+    (_, _, _, whole), = langid.grams([text])
+    monkeypatch.setattr(langid, "CHUNK", 1000)
+    pieces = [h for first, count, rows, h in langid.grams(["x", text, None, "y"]) if first == 1]
+    assert len(pieces) > 20 and np.array_equal(np.concatenate(pieces), whole)
+
+
+def test_predictions_against_plain_counts(spark, monkeypatch):
+    frame = spark.createDataFrame(made(400), SCHEMA)
+    model = langid.fit(frame, F.col("doc_id") % 2 == 0)
+    texts = [r[1] for r in made(60)] + ["kato", "12", None, "kato strö " * 700]
+    want = []
+    for text in texts:
+        (_, _, _, hashes), = langid.grams([text])
+        hits = [0] * len(model.langs)
+        for places in zip(*langid.positions(hashes)):
+            mask = int(model.table[0][places[0]])
+            for at in places[1:]:
+                mask &= int(model.table[0][at])
+            for b in range(len(hits)):
+                hits[b] += mask >> b & 1
+        fair = [max((h - len(hashes) * c) / (1 - c), 0) for h, c in zip(hits, model.chance)]
+        best = min(range(len(fair)), key=lambda b: (-fair[b], model.order[b]))
+        want.append((model.langs[best], fair[best] / sum(fair) if sum(fair) else 1 / len(fair)) if len(hashes) else ("und", 0.0))
+    for chunk in (langid.CHUNK, 500):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        langs, scores = model.predict(texts)
+        assert langs == [x for x, _ in want] and np.allclose(scores, [x for _, x in want])
