@@ -2,9 +2,12 @@
 
 Urls that a rule fits are judged by it and are the labels of the rest.  Paths are
 cut into segments, digits and long hexadecimal runs become placeholders, and the
-tree of every host is walked level by level: a level with many different children
-becomes a wildcard, and sibling branches whose labels do not differ from those of
-all siblings together are merged into one.  A template is rejected where its
+tree of every host is walked level by level: sibling branches whose labels do not
+differ from those of all siblings together are merged into one, a wildcard, and
+where there are many siblings those without labels join it, too.  Elsewhere branches
+without labels stay apart and are judged by the same typed path on all hosts, so a
+verdict does not turn with the number of rows.  A branch that holds one typed path
+has nothing to merge and is not walked further.  A template is rejected where its
 share of blocked labels, smoothed towards the same typed path on all hosts and
 then towards all labels, reaches ``reject_at``.
 
@@ -75,35 +78,44 @@ def _sums(frame: DataFrame, *keys: str) -> DataFrame:
 
 def template_tree(paths: DataFrame, ws: Workspace, most_children: int = 24, z: float = 2.0) -> DataFrame:
     """``paths`` (host, segments, n, labelled, blocked) with the ``template`` of each row."""
-    tree = ws.keep(paths.withColumn("template", F.lit("")), "level0")
-    depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(depth):
-        here = F.get("segments", F.lit(level))
-        tree = tree.withColumn("here", here)
-        children = _sums(tree.filter("here IS NOT NULL"), "host", "template", "here")
+    tree = ws.keep(paths.withColumn("template", F.lit("")).withColumn("closed", F.lit(False)), "level0")
+    done, level = [], 0
+    while not (open_ := tree.filter("NOT closed")).isEmpty():
+        walked = open_.withColumn("here", F.get("segments", F.lit(level)))
+        children = walked.filter("here IS NOT NULL").groupBy("host", "template", "here").agg(
+            F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
+        )
         siblings = children.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+            F.count(F.lit(1)).alias("kinds"), F.sum("paths").alias("all_paths"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
         )
         pooled = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
         own = F.col("blocked") / F.col("labelled")
-        similar = (F.col("labelled") == 0) | (F.abs(own - pooled) <= z * F.sqrt(pooled * (1 - pooled) / F.col("labelled")))
+        similar = (F.col("labelled") > 0) & (F.abs(own - pooled) <= z * F.sqrt(pooled * (1 - pooled) / F.col("labelled")))
+        unknown = (F.col("labelled") == 0) & (F.col("kinds") > most_children)
         named = children.join(siblings, ["host", "template"]).select(
             "host",
             "template",
             "here",
-            F.when((F.col("kinds") > most_children) | ((F.col("kinds") > 1) & similar), F.lit("*")).otherwise(F.col("here")).alias("branch"),
+            F.when((F.col("kinds") > 1) & (similar | unknown), F.lit("*")).otherwise(F.col("here")).alias("branch"),
+            (F.col("all_paths") == 1).alias("lone"),
         )
-        grown = tree.join(named, ["host", "template", "here"], "left").select(
+        rest = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), "/")
+        grown = walked.join(named, ["host", "template", "here"], "left").select(
             "host",
             "segments",
             "n",
             "labelled",
             "blocked",
-            F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template"),
+            F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("lone"), rest).otherwise(F.col("branch")))).alias("template"),
+            (F.col("branch").isNull() | F.col("lone")).alias("closed"),
         )
-        tree = ws.keep(grown, f"level{level + 1}")
-        ws.drop(f"level{level}")
-    return tree
+        level += 1
+        tree = ws.keep(grown, f"level{level}")
+        done.append(tree.filter("closed").drop("closed"))
+    out = tree.filter("closed").drop("closed") if not done else done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge_urls(

@@ -52,8 +52,8 @@ def brute(all_urls, most=24, weight=4.0):
             group = kids[h, t]
             p = (sum(x[1] for x in group.values()) + 0.5) / (sum(x[0] for x in group.values()) + 1)
             l, b = group[s[level]]
-            same = l == 0 or abs(b / l - p) <= 2 * math.sqrt(p * (1 - p) / l)
-            new[h, s] = t + "/" + ("*" if len(group) > most or len(group) > 1 and same else s[level])
+            same = len(group) > most if l == 0 else abs(b / l - p) <= 2 * math.sqrt(p * (1 - p) / l)
+            new[h, s] = t + "/" + ("*" if len(group) > 1 and same else s[level])
         template = new
     total = (sum(x[1] for x in stats.values()) + 0.5) / (sum(x[0] for x in stats.values()) + 1)
     across, own = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
@@ -92,6 +92,22 @@ def test_against_brute_force(spark):
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
+def test_unlabelled_branches_are_not_blocked_with_their_siblings(spark):
+    for times in (1, 300):
+        data = [f"http://a.example.net/{lang}/{k}" for lang in ("es", "fr", "de") for k in range(times)] + [f"http://b.example.com/de/{k}" for k in range(40)]
+        frame = spark.createDataFrame([(i, u) for i, u in enumerate(data)], "page_id long, url string")
+        got = {(r.host, r.path.split("/")[1], r.verdict) for r in urls.judge_urls(spark, frame, URL_RULES).collect()}
+        assert got == {("a.example.net", "es", "block"), ("a.example.net", "fr", "block"), ("a.example.net", "de", "allow"), ("b.example.com", "de", "allow")}
+
+
+def test_deep_and_lone_paths(spark):
+    deep = "/".join(f"s{chr(97 + k % 26)}x" for k in range(300))
+    data = [f"http://h/{deep}", "http://h/sax", "http://h/sax/q", "http://g//a//b/"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(data)], "page_id long, url string")
+    got = sorted(urls.judge_urls(spark, frame, URL_RULES).collect())
+    assert [r.template for r in got] == [f"/{deep}", "/sax", "/sax/q", "/a/b"] == [t for *_, t in brute(data)]
+
+
 def test_null_ids_and_empty_table(spark):
     frame = spark.createDataFrame([(None, "http://net/es/1"), (None, None)], "page_id long, url string")
     assert sorted((r.rule or "", r.verdict) for r in urls.judge_urls(spark, frame, URL_RULES).collect())[1] == ("net/es/", "block")
