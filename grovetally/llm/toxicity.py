@@ -114,8 +114,8 @@ def train(
     return Model(weights, intercept)
 
 
-def _listed(rows: DataFrame) -> list[np.ndarray]:
-    """The features of each distinct (seed, text) of a bounded choice of rows."""
+def _listed(rows: DataFrame, most: int) -> list[np.ndarray]:
+    """The features of each distinct (seed, text), the ``most`` least by seed."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
@@ -125,7 +125,7 @@ def _listed(rows: DataFrame) -> list[np.ndarray]:
                 lists = [found[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("seed").slice(first, len(part)), pa.array(lists, pa.binary())], names=["seed", "found"])
 
-    found = rows.select("seed", "text").mapInArrow(listed, "seed long, found binary").distinct()
+    found = rows.select("seed", "text").mapInArrow(listed, "seed long, found binary").distinct().orderBy("seed", "found").limit(most)
     return [np.frombuffer(r, np.int32) for _, r in sorted((r["seed"], bytes(r["found"])) for r in found.toLocalIterator())]
 
 
@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
     learner explains confirmed documents away as unlabelled ones.
 
     Both samples are those of least hash of the id.  At most ``most_positive`` ids
-    are broadcast, and texts are never shuffled, only their feature lists.
+    are broadcast, and texts are never shuffled, only their feature lists, of which no
+    more than these bounds reach the driver, however many texts share an id.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(learn)
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
     least = rows.select("seed").distinct().orderBy("seed").limit(most_unlabelled + 1).agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("cut")).first()
     some = rows.filter(F.col("seed") < least["cut"]) if least["n"] > most_unlabelled else rows
     share = margin * counts["toxic"] / counts["n"]
-    return train(_listed(rows.join(F.broadcast(chosen), "doc_id")), _listed(some), prior if prior is not None else share)
+    return train(_listed(rows.join(F.broadcast(chosen), "doc_id"), most_positive), _listed(some, most_unlabelled), prior if prior is not None else share)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
