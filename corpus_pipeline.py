@@ -16,13 +16,16 @@ from grovetally.llm.workspace import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score 0.5 or more for toxicity."""
+    """Rejects documents that score 0.5 or more for toxicity; null texts score as empty ones and stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.reject_toxic(docs, model, 0.5)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of linked texts (five words, 0.8)."""
+    """Keeps the document of least id of each group of linked texts (five words, 0.8).
+
+    Texts without words are linked with nothing and stay, and so do documents without an id.
+    """
     ws = Workspace(spark, "groups")
     grouped = jaccard.join_sets(spark, docs, size=5, percent=80)
     rest = grouped.filter("n_shingles > 0 AND component_id IS NOT NULL AND NOT doc_id <=> component_id")
@@ -32,13 +35,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, re-parameterised ones too."""
+    """Drops documents that hold a benchmark item, re-parameterised ones too; with no items all stay."""
     return decontaminate.remove_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; a changed text gets its new length."""
+    """Masks secrets; n_chars, where there is such a column and it is not null, is the length of what is left."""
     masked = secrets.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")).cast(docs.schema["n_chars"].dataType))
 
 
