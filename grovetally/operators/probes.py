@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as p
+from . import diff
 
 # Names of volume roles by bit.
 ROLES = {1: "system", 2: "user", 4: "recovery", 8: "vm", 16: "preboot", 32: "installer", 64: "data", 128: "baseband"}
@@ -150,3 +151,19 @@ def skip_samples(skips: DataFrame, k: int = 5) -> DataFrame:
     shown = ranked.groupBy("reason").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
     counts = skips.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(shown, "reason").withColumn("overflow", F.greatest(F.col("n") - k, F.lit(0)))
+
+
+def churn(scans: list[tuple[str, DataFrame]], fields: list[str]) -> DataFrame:
+    """phase, field and how many rows differ, from each scan to the next one named."""
+    out = None
+    for (_, before), (phase, after) in zip(scans, scans[1:]):
+        found = diff.summary(diff.long_form(before, after, fields)).withColumn("phase", F.lit(phase))
+        out = found if out is None else out.unionByName(found)
+    return out.select("phase", "field", "n")
+
+
+def unbalanced(owners: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row: streams, and those whose owners' shares do not add up to their bytes."""
+    shares = owners.groupBy("stream_id").agg(p.full_sum(F.col("real_size")).alias("shares"))
+    joined = totals.join(shares, "stream_id", "left")
+    return joined.agg(F.count(F.lit(1)).alias("streams"), F.count_if(~F.col("shares").eqNullSafe(F.col("bytes"))).alias("unbalanced"))

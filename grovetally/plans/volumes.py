@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as p
-from ..operators import diff, hierarchy, namespace, probes
+from ..functions import sql
+from ..operators import diff, hierarchy, namespace, probes, sizes
 from ..scratch import Scratch
 from ..sources import adapters as a
 from ..sources import listing, sinks, snapshots
-from .queries import NAME, ORDERS, PARTS, SPREAD, SUMMED, UNIQUE, query
+from .queries import _CHANGES, NAME, ORDERS, PARTS, SPREAD, SUMMED, UNIQUE, UP, _edges, _scans, query
 
 _PART = """p AS (SELECT *, p_partkey * 10 + 4 AS own, CAST(p_size AS BIGINT) AS z, CASE WHEN p_size % 5 = 0 THEN 'symlink' WHEN p_size % 7 = 0 THEN 'other' ELSE 'file' END AS kind,
  p_size % 11 <> 0 AS held, CASE WHEN p_size % 13 <> 0 THEN p_size * 1000 + CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END END AS ssize, CASE WHEN p_size % 13 <> 0 THEN p_size * 4096 END AS salloc FROM part)"""
@@ -292,3 +293,33 @@ def saturating_sum(spark, folder):
     key = F.col("o_orderkey")
     rows = a.table(spark, folder, "orders").select(key, F.explode(F.array(key, F.when(key % 3 == 0, F.lit(p.MOST)).otherwise(key))).alias("x"))
     return rows.groupBy("o_orderkey").agg(p.full_sum(F.col("x")).alias("total"))
+
+
+@query(f"WITH {ORDERS}, {SPREAD} SELECT path, string_agg(dir, '>' ORDER BY length(CASE WHEN dir = '.' THEN '' ELSE dir END)) AS chain, any_value({UP}) AS parent, any_value({NAME}) AS name, 4 AS depth FROM spread GROUP BY path")
+def sql_functions(spark, folder):
+    """The path functions, called from SQL."""
+    sql.register(spark)
+    a.ns_orders(spark, folder).createOrReplaceTempView("grove_entries")
+    return spark.sql("SELECT path, array_join(grove_ancestors(path), '>') AS chain, grove_parent(path) AS parent, grove_basename(path) AS name, grove_depth(path) AS depth FROM grove_entries")
+
+
+@query("SELECT DISTINCT r_name || '/' || n_name AS path, 'depth_cap_reached(2)' AS reason FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def tree_depth_cap(spark, folder):
+    """What a tree deeper than the cap loses is told, by the directory that holds it."""
+    return hierarchy.expand_edges(_edges(spark, folder), 2, most_depth=2)[1]
+
+
+@query("SELECT count(DISTINCT p_partkey) AS streams, CAST(0 AS BIGINT) AS unbalanced FROM part")
+def conservation(spark, folder):
+    """Shares of streams with one to four owners add up to what the streams take."""
+    part = a.table(spark, folder, "part").select(F.col("p_partkey").alias("stream_id"), (F.col("p_size").cast("long") * 4097).alias("bytes"), (F.col("p_partkey") % 4 + 1).alias("refcnt"))
+    owners = part.select("stream_id", F.explode(F.sequence(F.lit(0), F.col("refcnt") - 1)).alias("k")).select("stream_id", (F.col("stream_id") + F.col("k") * 100000000).alias("file_id"))
+    shares = sizes.real_size(part, owners).join(owners, "file_id")
+    return probes.unbalanced(shares, part)
+
+
+@query(f"{_CHANGES} SELECT 'live' AS phase, field, count(*) AS n FROM d WHERE field <> 'allocated_size' GROUP BY field UNION ALL SELECT 'final', 'only_in_left', count(*) FROM later WHERE file_id % 29 = 0")
+def churn_phases(spark, folder):
+    """A baseline, the live state after it and the final one, each against the one before."""
+    before, after = _scans(spark, folder)
+    return probes.churn([("baseline", before), ("live", after), ("final", after.filter("file_id % 29 <> 0"))], ["entry_kind", "logical_size"])
