@@ -74,3 +74,52 @@ def test_shapes_and_empty(spark):
     assert lm.score(spark, frame.limit(0), F.lit(True)).count() == 0
     none = lm.score(spark, frame, F.lit(False)).collect()
     assert {(r.train_tokens, r.base_score, r.n_known) for r in none} == {(0, 0.0, 0)}
+
+
+def plain_scores(rows, learns):
+    """The model's log10 probability of every text, token by token, from counts of its own."""
+    split = lambda t: (t or "").encode().lower().split()
+    every, learnt = Counter(), Counter()
+    for i, t in rows:
+        every.update(split(t))
+        learnt.update(split(t) if learns(i) else [])
+    of = {}
+    for w in every:
+        one = tokens.Words(pa.array([w.decode()]))
+        of[w] = (int(one.hash[0]), int(lm.shapes(one)[0]))
+    common = sorted((w for w in every if every[w] > 1 and learnt[w] > 0), key=lambda w: (-learnt[w], of[w][0]))[: lm.WORDS]
+    token = {w: k for k, w in enumerate(common)}
+    number = lambda w: token.get(w, lm.WORDS + of[w][1])
+    pairs = np.zeros((lm.TOKENS, lm.TOKENS))
+    for i, t in rows:
+        if learns(i):
+            line = [lm.END, *map(number, split(t)), lm.END]
+            for a, b in zip(line, line[1:]):
+                pairs[a, b] += 1
+    table = lm.train(pairs)
+    n, v = Counter(), Counter()
+    for w in every:
+        if w not in token:
+            n[of[w][1]] += learnt[w]
+            v[of[w][1]] += learnt[w] > 0
+    out = []
+    for i, t in rows:
+        words = split(t)
+        line = [lm.END, *map(number, words), lm.END]
+        total = sum(float(table[a, b]) for a, b in zip(line, line[1:]))
+        for w in words:
+            if w not in token:
+                total += math.log((learnt[w] + 0.1) / (n[of[w][1]] + 0.1 * (v[of[w][1]] + 1)))
+        out.append((i, len(words) + 1, total / math.log(10)))
+    return out
+
+
+def test_scores_against_plain_counts(spark):
+    rows = [(i, t) for i, t in made(150) if i != 9002]
+    frame = spark.createDataFrame([(i, t, 0.0, "x") for i, t in rows], SCHEMA)
+    got = lm.score(spark, frame, F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect()
+    want = plain_scores(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0)
+    key = lambda r: (str(r[0]), r[1], round(r[2], 4))
+    got, want = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key), sorted(want, key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-5) for g, w in zip(got, want))
