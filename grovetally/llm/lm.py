@@ -1,20 +1,23 @@
 """A log-bilinear language model trained by noise-contrastive estimation.
 
 The model predicts a token from the one before it: the context word's vector,
-turned by a matrix, is multiplied with the vectors of all tokens.  Its tokens are
-the most common words, one class for each shape of other words, and the end of a
-text.  A word of a class is then one of the class's words by smoothed counts, so
-every token of every text has a normalised probability.
+turned by a matrix, is multiplied with the vectors of all tokens.  Its core has the
+most common words, one class for each shape of other words, and the end of a text.
+Within its class every word that learning texts hold ``LEAST`` times has a vector of
+its own too, so the vocabulary grows with the corpus; rarer words go by smoothed
+counts.  Both levels are normalised, so every token of every text has a probability.
 
 Training counts all pairs of neighbouring tokens of all learning texts, summed
-map-side, and takes gradient steps on the noise-contrastive objective over the
-whole matrix of counts, with the expectation over noise words taken exactly.  One
-product of matrices gives the logarithms of all conditional probabilities; scoring
-looks them up token by token.
+map-side: (core token, core token), and (core token, word) for the words of classes,
+whose number grows with the corpus.  The core takes gradient steps on the
+noise-contrastive objective over its whole matrix of counts.  The vectors of words
+are then found apart, each by Newton steps on the same objective with the contexts
+held, so they are fitted where their counts are, many words to one product of
+matrices.  Expectations over noise words are taken exactly.
 
 Word counts cover the corpus and stay distributed.  The ``FREQUENT`` most common
-words go to the executors with their counts; the rest is joined by hash, after it
-was summed per text.  Words are known by 64-bit hashes.
+words go to the executors with counts and vectors; the rest is joined by hash, after
+it was summed per text, and has no vectors.  Words are known by 64-bit hashes.
 
 Defined cases.  A null text is empty and consists of its end alone.  Rows with a
 null id are held out.  Repeated rows are scored alike.  Without learning texts the
@@ -35,10 +38,14 @@ from .tokens import Words, mix, slices, tidy
 from .workspace import Workspace
 
 SHAPES, TOKENS = 128, 2048
-#: Model words, besides the classes and the end.
+#: Words of the core, besides the classes and the end.
 WORDS = TOKENS - SHAPES - 1
+CORE = WORDS
 END = TOKENS - 1
 FREQUENT = 1 << 19
+#: Occurrences in learning texts from which a word of a class has a vector, and its length.
+LEAST, NARROW = 16, 16
+NOISE = 25.0
 HELD = 1 << 21
 LN10 = np.log(10.0)
 
@@ -89,16 +96,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """The frequent words: sorted hashes, counts, and the model token of each or -1."""
+    """The frequent words: sorted hashes, counts, shapes, the core token and the place among words with vectors of each, or -1."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, shape: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+        self.hashes, self.counts, self.shape = hashes[order], counts[order], shape[order].astype(np.uint8)
         ranked = np.lexsort((self.hashes, -self.counts))
         self.token = np.full(len(hashes), -1, dtype=np.int32)
-        chosen = ranked[:WORDS][self.counts[ranked[:WORDS]] > 0]
+        chosen = ranked[:CORE][self.counts[ranked[:CORE]] > 0]
         self.token[chosen] = np.arange(len(chosen))
-        self.size = len(chosen)
+        self.fitted = np.flatnonzero((self.token < 0) & (self.counts >= LEAST))
+        self.place = np.full(len(hashes), -1, dtype=np.int32)
+        self.place[self.fitted] = np.arange(len(self.fitted))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each word, -1 for those that are not frequent."""
@@ -107,8 +116,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def tokens(self, words: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text its tokens and the end; the token before each; text of each."""
+    def tokens(self, words: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text its tokens and the end; the token before each; text of each; which are words."""
         own = np.where(found >= 0, self.token[found], -1) if len(self.hashes) else np.full(len(found), -1)
         own = np.where(own >= 0, own, WORDS + shapes(words))
         count = words.count
@@ -118,11 +127,16 @@ class Vocabulary:
         place[ends] = False
         everything[place] = own
         before = np.concatenate([[END], everything[:-1]])
-        return everything, before, np.repeat(np.arange(len(count)), count + 1)
+        return everything, before, np.repeat(np.arange(len(count)), count + 1), place
 
 
-def train(pairs: np.ndarray, dim: int = 32, noise: float = 25.0, steps: int = 120, rate: float = 0.05, seed: int = 3) -> np.ndarray:
-    """Log-probabilities (context, token) from pair counts, as float32.
+def train(pairs: np.ndarray, dim: int = 32, noise: float = NOISE, steps: int = 120, rate: float = 0.05, seed: int = 3) -> np.ndarray:
+    """Log-probabilities (context, token) from pair counts, as float32."""
+    return train_core(pairs, dim, noise, steps, rate, seed)[0]
+
+
+def train_core(pairs: np.ndarray, dim: int = 32, noise: float = NOISE, steps: int = 120, rate: float = 0.05, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities (context, token) from pair counts, and the turned vector of each context, as float32.
 
     The objective is that of ``noise`` noise words per token, drawn from smoothed
     token frequencies; both its sums run over all (context, token) at once.
@@ -150,9 +164,70 @@ def train(pairs: np.ndarray, dim: int = 32, noise: float = 25.0, steps: int = 12
                 v += 0.01 * (grad * grad - v)
                 param -= np.float32(rate * min(1.0, 3 * (1 - step / (steps + 1)))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     vectors, turn, bias = params
-    scores = (vectors @ turn) @ vectors.T + bias
+    context = vectors @ turn
+    scores = context @ vectors.T + bias
     scores -= scores.max(1, keepdims=True)
-    return (scores - np.log(np.exp(scores.astype(np.float64)).sum(1, keepdims=True))).astype(np.float32)
+    return (scores - np.log(np.exp(scores.astype(np.float64)).sum(1, keepdims=True))).astype(np.float32), context
+
+
+def narrow(context: np.ndarray, often: np.ndarray, most: int = NARROW) -> np.ndarray:
+    """Contexts in their ``most`` main directions, of unit variance over the corpus, and a last column of ones."""
+    weight = (often + 1e-3) / (often + 1e-3).sum()
+    centred = context.astype(np.float64) - weight @ context
+    values, directions = np.linalg.eigh((centred * weight[:, None]).T @ centred)
+    chosen = np.argsort(-values)[:most]
+    out = centred @ directions[:, chosen] / np.sqrt(np.maximum(values[chosen], 1e-9))
+    far = np.sqrt((out * out).mean(1, keepdims=True))
+    return np.hstack([out / np.maximum(1, far / 3), np.ones((len(out), 1))]).astype(np.float32)
+
+
+def fit(context: np.ndarray, seen: np.ndarray, expected: np.ndarray, steps: int = 8, ridge: float = 1.0) -> np.ndarray:
+    """Vectors (word, column of ``context``) of words of classes, by noise-contrastive estimation with contexts held.
+
+    ``seen`` and ``expected`` (word, context) count a word after each context, and
+    how often it would be there if its class's words took turns by their counts,
+    which is the noise.  Newton steps climb the penalised objective; a step moves no
+    logarithm by more than a word's radius, which halves when a step went too far.
+    """
+    width = context.shape[1]
+    upper = np.triu_indices(width)
+    outer = context[:, upper[0]] * context[:, upper[1]]
+    both = seen + np.float32(NOISE) * expected
+    best = np.zeros((len(seen), width), dtype=np.float32)
+    vectors, step = best, best
+    height, radius = np.full(len(seen), -np.inf, dtype=np.float32), np.full(len(seen), 2.0, dtype=np.float32)
+    for turn in range(steps):
+        margin = np.float32(np.log(NOISE)) - vectors @ context.T
+        power = np.exp(np.minimum(margin, 60))
+        reached = (np.float32(NOISE) * expected * margin - both * np.log1p(power)).sum(1) - ridge / 2 * (vectors * vectors).sum(1)
+        better = reached >= height
+        best, height = np.where(better[:, None], vectors, best), np.where(better, reached, height)
+        if turn == steps - 1:
+            break
+        # Where a step went too far, half of it is tried from where it began.
+        radius = np.where(better, radius, radius / 2)
+        p = 1 / (1 + power)
+        uphill = (seen - both * p) @ context - np.float32(ridge) * vectors
+        bends = np.zeros((len(seen), width, width), dtype=np.float32)
+        bends[:, upper[0], upper[1]] = (both * p * (1 - p)) @ outer
+        bends[:, upper[1], upper[0]] = bends[:, upper[0], upper[1]]
+        bends[:, np.arange(width), np.arange(width)] += np.float32(ridge)
+        newton = np.linalg.solve(bends, uphill[:, :, None])[:, :, 0]
+        newton *= np.minimum(1, radius / np.maximum(np.abs(newton @ context.T).max(1), 1e-9))[:, None]
+        step = np.where(better[:, None], newton, step / 2)
+        vectors = best + step
+    return best
+
+
+def spread(context: np.ndarray, vectors: np.ndarray, share: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Logarithms (context, class) of what the words of a class sum to before they are normalised."""
+    out = np.ones((len(context), SHAPES))
+    for kind in range(SHAPES):
+        own = np.flatnonzero(shape == kind)
+        for k in range(0, len(own), 2048):
+            some = own[k : k + 2048]
+            out[:, kind] += np.expm1(context @ vectors[some].T) @ share[some]
+    return np.log(out)
 
 
 def score(spark: SparkSession, docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -168,46 +243,114 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_column: str =
     # As many of the most common words as the bound allows, whole classes of equal counts.
     steps = counts.groupBy("every").count().filter("every > 1").orderBy(F.desc("every")).limit(1 << 16).toPandas()
     cut = steps["every"][steps["count"].cumsum() <= FREQUENT].min() if len(steps) else None
-    common = counts.filter(F.col("every") >= (int(cut) if cut == cut and cut is not None else (1 << 62))).select("hash", "learnt").toArrow()
-    words = Vocabulary(common["hash"].to_numpy().view(np.uint64), common["learnt"].to_numpy())
+    common = counts.filter(F.col("every") >= (int(cut) if cut == cut and cut is not None else (1 << 62))).select("hash", "learnt", "shape").toArrow()
+    words = Vocabulary(common["hash"].to_numpy().view(np.uint64), common["learnt"].to_numpy(), common["shape"].to_numpy())
     vocabulary = spark.sparkContext.broadcast(words)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the core, numbered from 0, and then of contexts and words with vectors, summed by task."""
         cells = np.zeros(TOKENS * TOKENS, dtype=np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+
+        def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(keys), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 17)].astype(np.int64)), pa.array(n[k : k + (1 << 17)].astype(np.int64))], names=["cell", "n"])
+
         for batch in tidy(batches):
             for _, part in slices(batch.column(0)):
                 w = Words(part)
-                tokens, before, _ = vocabulary.value.tokens(w, vocabulary.value.find(w.hash))
+                at = vocabulary.value.find(w.hash)
+                tokens, before, _, inner = vocabulary.value.tokens(w, at)
                 some, n = np.unique(before * TOKENS + tokens, return_counts=True)
                 cells[some] += n.astype(np.int32)
+                if not len(vocabulary.value.fitted):
+                    continue
+                place = np.where(at >= 0, vocabulary.value.place[at], -1).astype(np.int64)
+                own = place >= 0
+                some, n = np.unique((TOKENS + place[own]) * TOKENS + before[inner][own], return_counts=True)
+                held.append((some, n))
+                size += len(some)
+                if size > HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(*merged())
         used = np.flatnonzero(cells)
-        for k in range(0, len(used), 1 << 17):
-            some = used[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some].astype(np.int64))], names=["cell", "n"])
+        yield from out(used, cells[used])
 
-    found = rows.filter("learn").select("text").mapInArrow(pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = ws.keep(rows.filter("learn").select("text").mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pairs")
+    core = found.filter(F.col("cell") < TOKENS * TOKENS).toArrow()
     matrix = np.zeros(TOKENS * TOKENS)
-    matrix[found["cell"].to_numpy()] = found["n"].to_numpy()
-    chances = train(matrix.reshape(TOKENS, TOKENS))
-    del matrix, found
+    matrix[core["cell"].to_numpy()] = core["n"].to_numpy()
+    matrix = matrix.reshape(TOKENS, TOKENS)
+    chances, context = train_core(matrix)
+    context = narrow(context, matrix.sum(1))
+    after = np.ascontiguousarray(matrix[:, WORDS:END].T, dtype=np.float32)
+    del matrix, core
 
     own = words.hashes[words.token >= 0].view(np.int64)
     inside = spark.createDataFrame(pa.table({"hash": pa.array(own)})) if len(own) else spark.createDataFrame([], "hash long")
     other = counts.join(F.broadcast(inside), "hash", "left_anti")
     classes = {r["shape"]: (r["n"], r["v"]) for r in other.groupBy("shape").agg(F.sum("learnt").alias("n"), F.count_if(F.col("learnt") > 0).alias("v")).collect()}
     room = np.array([classes.get(k, (0, 0))[0] + 0.1 * (classes.get(k, (0, 0))[1] + 1) for k in range(SHAPES)])
-    model = spark.sparkContext.broadcast((chances, room))
+
+    shape = words.shape[words.fitted]
+    share = (words.counts[words.fitted] + 0.1) / room[shape]
+    vectors = np.zeros((len(shape), context.shape[1]), dtype=np.float32)
+    if len(shape):
+        held_still = spark.sparkContext.broadcast((context, after, shape, share.astype(np.float32)))
+
+        def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+
+            def solved(word: np.ndarray, before: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+                turned, follow, kinds, shares = held_still.value
+                ids, first = np.unique(word, return_index=True)
+                first = np.append(first, len(word))
+                for k in range(0, len(ids), 128):
+                    some = ids[k : k + 128]
+                    part = slice(first[k], first[k + len(some)])
+                    seen = np.zeros((len(some), TOKENS), dtype=np.float32)
+                    seen[np.searchsorted(some, word[part]), before[part]] = n[part]
+                    got = fit(turned, seen, follow[kinds[some]] * shares[some][:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([v.tobytes() for v in got], pa.binary())], names=["word", "vector"])
+
+            for batch in tidy(batches):
+                held.append(tuple(batch.column(k).to_numpy() for k in range(3)))
+                if sum(len(h[0]) for h in held) >= 1 << 16:
+                    joined = [np.concatenate(x) for x in zip(*held)]
+                    cut = int(np.searchsorted(joined[0], joined[0][-1]))
+                    yield from solved(*(x[:cut] for x in joined))
+                    held = [tuple(x[cut:] for x in joined)]
+            if held:
+                yield from solved(*(np.concatenate(x) for x in zip(*held)))
+
+        tail = F.col("cell") - TOKENS * TOKENS
+        sparse = found.filter(F.col("cell") >= TOKENS * TOKENS).select(F.expr(f"(cell - {TOKENS * TOKENS}) div {TOKENS}").alias("word"), (tail % TOKENS).alias("before"), "n")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(shape) // 4096 + 1)
+        solved_all = sparse.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(fitted, "word long, vector binary").toArrow()
+        vectors[solved_all["word"].to_numpy()] = np.frombuffer(b"".join(solved_all["vector"].to_pylist()), dtype=np.float32).reshape(-1, context.shape[1])
+        del solved_all
+    model = spark.sparkContext.broadcast((chances, room, context, vectors, spread(context, vectors, share, shape).astype(np.float32)))
     whole = learnt + 0.1 * (distinct + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = vocabulary.value
-        table, shares = model.value
+        table, shares, contexts, own_vectors, sums_of = model.value
         named = ["id", "key", "learn", "hash", "n", "shape", "tokens", "known", "base", "score"]
         for batch in tidy(batches):
             for first, part in slices(batch.column("text")):
                 w = Words(part)
                 at = book.find(w.hash)
-                tokens, before, text = book.tokens(w, at)
+                tokens, before, text, inner = book.tokens(w, at)
                 rows_, count = w.row, len(part)
                 lm = np.bincount(text, weights=table[before, tokens], minlength=count)
                 shape = shapes(w)
@@ -218,6 +361,13 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_column: str =
                 classed = book.token[at[seen]] < 0
                 some = seen[classed]
                 lm += np.bincount(rows_[some], weights=np.log((c[classed] + 0.1) / shares[shape[some]]), minlength=count)
+                behind = before[inner]
+                some = np.flatnonzero(tokens[inner] >= WORDS)
+                lm -= np.bincount(rows_[some], weights=sums_of[behind[some], shape[some]], minlength=count)
+                if len(own_vectors):
+                    place = np.where(at >= 0, book.place[at], -1)
+                    some = np.flatnonzero(place >= 0)
+                    lm += np.bincount(rows_[some], weights=np.einsum("ij,ij->i", contexts[behind[some]], own_vectors[place[some]]), minlength=count)
                 keys = batch.column("key").slice(first, count)
                 ids, learns = (batch.column(x).slice(first, count) for x in ("id", "learn"))
                 nothing = lambda kind: pa.nulls(count, kind)

@@ -87,39 +87,101 @@ def plain_scores(rows, learns):
     for w in every:
         one = tokens.Words(pa.array([w.decode()]))
         of[w] = (int(one.hash[0]), int(lm.shapes(one)[0]))
-    common = sorted((w for w in every if every[w] > 1 and learnt[w] > 0), key=lambda w: (-learnt[w], of[w][0]))[: lm.WORDS]
-    token = {w: k for k, w in enumerate(common)}
+    common = sorted((w for w in every if every[w] > 1 and learnt[w] > 0), key=lambda w: (-learnt[w], of[w][0]))
+    token = {w: k for k, w in enumerate(common[: lm.CORE])}
     number = lambda w: token.get(w, lm.WORDS + of[w][1])
-    pairs = np.zeros((lm.TOKENS, lm.TOKENS))
+    pairs, after = np.zeros((lm.TOKENS, lm.TOKENS)), {}
     for i, t in rows:
         if learns(i):
-            line = [lm.END, *map(number, split(t)), lm.END]
+            words = split(t)
+            line = [lm.END, *map(number, words), lm.END]
             for a, b in zip(line, line[1:]):
                 pairs[a, b] += 1
-    table = lm.train(pairs)
+            for a, w in zip(line, words):
+                after.setdefault(w, np.zeros(lm.TOKENS))[a] += 1
+    table, context = lm.train_core(pairs)
+    context = lm.narrow(context, pairs.sum(1)).astype(float)
     n, v = Counter(), Counter()
     for w in every:
         if w not in token:
             n[of[w][1]] += learnt[w]
             v[of[w][1]] += learnt[w] > 0
+    share = {w: (learnt[w] + 0.1) / (n[of[w][1]] + 0.1 * (v[of[w][1]] + 1)) for w in every if w not in token}
+    vector = {}
+    for w in common[lm.CORE :]:
+        if learnt[w] >= lm.LEAST:
+            expected = (pairs[:, lm.WORDS + of[w][1]] * share[w])[None]
+            vector[w] = lm.fit(context.astype(np.float32), after[w][None].astype(np.float32), expected.astype(np.float32))[0].astype(float)
+    whole = np.ones((lm.TOKENS, lm.SHAPES))
+    for w, x in vector.items():
+        whole[:, of[w][1]] += share[w] * (np.exp(context @ x) - 1)
     out = []
     for i, t in rows:
         words = split(t)
         line = [lm.END, *map(number, words), lm.END]
         total = sum(float(table[a, b]) for a, b in zip(line, line[1:]))
-        for w in words:
+        for a, w in zip(line, words):
             if w not in token:
-                total += math.log((learnt[w] + 0.1) / (n[of[w][1]] + 0.1 * (v[of[w][1]] + 1)))
+                total += math.log(share[w] / whole[a, of[w][1]]) + (context[a] @ vector[w] if w in vector else 0)
         out.append((i, len(words) + 1, total / math.log(10)))
-    return out
+    return out, len(vector)
 
 
-def test_scores_against_plain_counts(spark):
+@pytest.mark.parametrize("core, frequent", [(lm.CORE, lm.FREQUENT), (30, lm.FREQUENT), (30, 150)])
+def test_scores_against_plain_counts(spark, monkeypatch, core, frequent):
+    monkeypatch.setattr(lm, "CORE", core)
     rows = [(i, t) for i, t in made(150) if i != 9002]
     frame = spark.createDataFrame([(i, t, 0.0, "x") for i, t in rows], SCHEMA)
+    want, fitted = plain_scores(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0)
+    assert (fitted > 50) == (core == 30)
+    if frequent < lm.FREQUENT:
+        want = None
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
     got = lm.score(spark, frame, F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect()
-    want = plain_scores(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0)
-    key = lambda r: (str(r[0]), r[1], round(r[2], 4))
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    if want is None:
+        return
+    key = lambda r: (str(r[0]), r[1], round(r[2], 2))
     got, want = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key), sorted(want, key=key)
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(math.isclose(g[2], w[2], rel_tol=1e-5) for g, w in zip(got, want))
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-4) for g, w in zip(got, want))
+
+
+def problem(words=40, contexts=200):
+    rng = np.random.default_rng(4)
+    context = np.hstack([rng.normal(size=(contexts, 6)), np.ones((contexts, 1))]).astype(np.float32)
+    expected = rng.gamma(0.5, 1.0, (words, contexts)).astype(np.float32)
+    true = rng.normal(0, 0.7, (words, 7)).astype(np.float32)
+    seen = rng.poisson(expected * np.exp(np.minimum(true @ context.T, 4))).astype(np.float32)
+    return context, seen, expected, true
+
+
+def test_vectors_reach_the_optimum():
+    context, seen, expected, true = problem()
+    got = lm.fit(context, seen, expected, steps=30).astype(float)
+    p = 1 / (1 + np.exp(np.log(lm.NOISE) - got @ context.T))
+    uphill = (seen - (seen + lm.NOISE * expected) * p) @ context - got
+    assert np.abs(uphill).max() < 0.05 * seen.sum(1).max() ** 0.5
+    assert np.corrcoef(got.ravel(), true.ravel())[0, 1] > 0.9
+    few = lm.fit(context, seen, expected).astype(float)
+    assert np.abs(few - got).max() < 0.1
+
+
+def test_vectors_survive_extremes():
+    context, seen, expected, _ = problem(4)
+    seen[0], expected[1], seen[2], expected[3] = 0, 0, 1e7, 1e9
+    assert np.isfinite(lm.fit(context, seen, expected)).all()
+
+
+def test_two_levels_are_normalised():
+    rng = np.random.default_rng(5)
+    context = lm.narrow(rng.normal(size=(lm.TOKENS, 32)), rng.poisson(2.0, lm.TOKENS))
+    shape, vectors = rng.integers(0, lm.SHAPES, 500), rng.normal(0, 1, (500, lm.NARROW + 1)).astype(np.float32)
+    share = rng.uniform(0, 1, 500)
+    total = np.bincount(shape, weights=share, minlength=lm.SHAPES)
+    share /= 2 * total[shape]
+    whole = np.exp(lm.spread(context, vectors, share, shape))
+    for c in (0, 7, lm.END):
+        inside = np.bincount(shape, weights=share * np.exp(context[c].astype(float) @ vectors.T.astype(float)) / whole[c][shape], minlength=lm.SHAPES)
+        left = (1 - np.bincount(shape, weights=share, minlength=lm.SHAPES)) / whole[c]
+        assert np.allclose(inside + left, 1, atol=1e-4)
