@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, relieve
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, TIE_BITS, DIGIT = 40, 20, 12
@@ -200,6 +200,7 @@ def mix_sources(
         tie = F.pmod(F.xxhash64("line"), F.lit(1 << TIE_BITS))
         return _on_source(rows, known).withColumn("rate", rate).withColumn("number", F.shiftleft(key, TIE_BITS).bitwiseOR(tie))
 
+    relieve(spark)
     edges = _edges(rated(sizes), targets.select("source", "target"), ws)
     done = _on_source(rated(packed), edges, "left")
     extra = (F.col("rate") > F.floor("rate")) & (F.col("size") > 0) & (F.col("number") >= F.col("edge"))

@@ -63,12 +63,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[ends[0] : ends[-1]], ends - ends[0]
 
 
+def trim() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trimmed := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trimmed(0)
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of a task; after the last one the worker, which lives on idle, gives its free memory back."""
     yield from batches
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    trim()
 
 
 def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, pa.Array]]:

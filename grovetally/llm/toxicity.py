@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import MARKS, Words, slices, tidy
+from .workspace import relieve
 
 BITS = 18
 #: First bytes of a word that count as features of their own, where the word is longer.
@@ -150,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
     least = rows.select("seed").distinct().orderBy("seed").limit(most_unlabelled + 1).agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("cut")).first()
     some = rows.filter(F.col("seed") < least["cut"]) if least["n"] > most_unlabelled else rows
     share = margin * counts["toxic"] / counts["n"]
-    return train(_listed(rows.join(F.broadcast(chosen), "doc_id"), most_positive), _listed(some, most_unlabelled), prior if prior is not None else share)
+    model = train(_listed(rows.join(F.broadcast(chosen), "doc_id"), most_positive), _listed(some, most_unlabelled), prior if prior is not None else share)
+    relieve(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -7,11 +7,14 @@ a temporary folder of its own (tests).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tokens import trim
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -28,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def relieve(spark: SparkSession) -> None:
+    """Drops what the driver no longer uses.
+
+    Loops of many small jobs leave plans, generated classes, broadcasts and shuffle
+    files behind; Spark cleans those up when the driver's JVM collects its garbage.
+    """
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """A folder of scratch tables for one run of one operator.
 
@@ -37,6 +51,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        relieve(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/grovetally/{name}-{uuid.uuid4().hex[:12]}"
         self._fs().deleteOnExit(self._path(self.root))
